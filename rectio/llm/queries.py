@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectio.llm import bpe, decontaminate, pii, simhash, toxicity
+from rectio.llm import bpe, decontaminate, embeddings, hilbert, langid, lattice, pii, quality, simhash, toxicity
 from rectio.llm.common import fold, table
 
 SURROGATE_KEY = "corpus"
@@ -27,11 +27,49 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(docs, SURROGATE_KEY, count_col="n_replaced")
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
+    )
+    placed = hilbert.hilbert_shards(docs, ["lang", "source", "size"], ["doc_id", "size", "text_crc32"], shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", learn=fold(5) != 0)
+    return quality.score(docs, ensemble).select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lattice.score_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), learn=fold(10) != 0)
+    return found.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", simhash.to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, learn=fold(4) != 2)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -46,7 +84,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_pii_surrogates": op2_pii_surrogates,
+        "op3_hilbert_shards": op3_hilbert_shards,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
+        "op6_lattice_scores": op6_lattice_scores,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_language_id": op8_language_id,
         "op9_bpe": op9_bpe,
         "op10_decontamination": op10_decontamination,
     }
