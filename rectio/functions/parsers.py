@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rectio.functions.datetimes import looks_like_date, looks_like_time, parse_date, parse_datetime, parse_time
+from rectio.functions.datetimes import let, looks_like_date, looks_like_time, parse_date, parse_datetime, parse_time
 from rectio.functions.locale import Locale
 
 # Spellings of truth.
@@ -30,12 +30,17 @@ def _mark(mark: str) -> str:
 def parse_double(x: Column, loc: Locale) -> Column:
     m = _mark(loc.decimal_mark[:1])
     guard = rf"^[+-]?(?:(?i:nan|inf)|(?:[0-9]+(?:{m}[0-9]*)?|{m}[0-9]+)(?:[EeSsFfDdLl][+-]?[0-9]+)?)$"
-    plain = F.regexp_replace(x, m, ".") if loc.decimal_mark != "." else x
-    plain = F.regexp_replace(plain, "[EeSsFfDdLl](?=[+-]?[0-9]+$)", "e")
-    special = F.lower(F.regexp_replace(x, "^[+-]", ""))
-    infinite = F.when(x.startswith("-"), float("-inf")).otherwise(float("inf"))
-    value = F.when(special == "nan", float("nan")).when(special == "inf", infinite).otherwise(plain.try_cast("double"))
-    return F.when(x.rlike(guard), value)
+
+    def unusual(t: Column) -> Column:
+        plain = F.regexp_replace(t, m, ".") if loc.decimal_mark != "." else t
+        plain = F.regexp_replace(plain, "[EeSsFfDdLl](?=[+-]?[0-9]+$)", "e")
+        special = F.lower(F.regexp_replace(t, "^[+-]", ""))
+        infinite = F.when(t.startswith("-"), float("-inf")).otherwise(float("inf"))
+        value = F.when(special == "nan", float("nan")).when(special == "inf", infinite).otherwise(plain.try_cast("double"))
+        return F.when(t.rlike(guard), value)
+
+    usual = "^[+-]?[0-9]+(?:[.][0-9]*)?(?:[eE][+-]?[0-9]+)?$" if loc.decimal_mark[:1] == "." else "^[+-]?[0-9]+$"
+    return F.when(x.rlike(usual), x.try_cast("double")).otherwise(let(x, unusual))
 
 
 def _number_pattern(loc: Locale) -> tuple[str, str, str]:

@@ -232,7 +232,7 @@ def read_delim(
     for k, c in enumerate(collectors):
         if c.kind != "skip":
             x = value(k)
-            parsed[names[k]] = F.when(x.isNotNull(), parse_column(x, c.kind, loc, c.format, c.levels))
+            parsed[names[k]] = parse_column(x, c.kind, loc, c.format, c.levels)
     if id:
         parsed[id] = F.col("path")
     out = []

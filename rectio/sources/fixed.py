@@ -112,7 +112,7 @@ def read_fwf(
         b, e = layout.begin[k], layout.end[k]
         cut = F.substring(data, F.lit(b + 1), F.lit(1 << 30) if e is None else F.lit(e - b))
         x = F.decode(cut, "UTF-8")
-        x = F.regexp_replace(x, "^[ \t\r\x00]+|[ \t\r\x00]+$", "") if trim_ws else x
+        x = F.btrim(x, F.lit(" \t\r\x00")) if trim_ws else x
         return F.when(~x.isin(*na), x) if na else x
 
     guessing = [k for k, c in enumerate(collectors) if c.kind == "guess"]
@@ -120,7 +120,7 @@ def read_fwf(
         texts = _ordered(df).select("path", "ordinal", *[value(k).alias(f"c{k}") for k in guessing])
         for k, kind in zip(guessing, guess_types(sample_rows(texts, guess_max), [f"c{k}" for k in guessing], loc)):
             collectors[k] = sp.Collector(kind)
-    parsed = {names[k]: F.when(value(k).isNotNull(), parse_column(value(k), c.kind, loc, c.format, c.levels)) for k, c in enumerate(collectors) if c.kind != "skip"}
+    parsed = {names[k]: parse_column(value(k), c.kind, loc, c.format, c.levels) for k, c in enumerate(collectors) if c.kind != "skip"}
     if id:
         parsed[id] = F.col("path")
     found = []
