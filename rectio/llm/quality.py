@@ -18,7 +18,6 @@ THRESHOLD = 0.3
 #: Labelled documents of each class that a fit takes at most.
 SAMPLE = 8000
 TREES, DEPTH, BINS, SHRINKAGE = 40, 3, 32, 0.3
-_EMPTY = F.lit("")
 
 
 def statistics(text: Column) -> dict[str, Column]:
