@@ -198,6 +198,12 @@ def test_lattice_sums_over_all_segmentations():
     total = np.zeros(len(pieces))
     model.expect(b"a", 2.0, total)
     assert total[0] == pytest.approx(2 * (1 / 7) / (1 / 7 + 1 / 49)) and total[5] == pytest.approx(total[6])
+    short, long = np.zeros(len(pieces)), np.zeros(len(pieces))
+    model.expect(b"abcb" * 3, 1.0, short)
+    model._expect_long("▁".encode() + b"abcb" * 3, 1.0, long)
+    assert np.allclose(short, long)
+    model.expect(b"abc" * 400, 1.0, long)
+    assert np.isfinite(long).all() and long.sum() > 400
 
 
 def test_language_id(spark, edge):
