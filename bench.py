@@ -38,11 +38,9 @@ def main() -> None:
         **{name: (lambda f=every[name]: f(spark, sf_dir)) for name in ("filter_group_mean_lineitem", "group_sum_lineitem", "filter_numeric_lineitem", "head_lineitem", "sample_100_lineitem", "quoted_newlines_documents", "quoted_json_events", "delim_guess_orders", "fwf_overlap_orders", "lines_documents", "problems_customer")},
     }
     sinks = {"write_lineitem": lambda: q.rendered(q._table(spark, sf_dir, "lineitem"), "|")}
-    try:
-        from rectio.llm.queries import queries as llm
-    except ModuleNotFoundError:
-        llm = dict
-    for name, f in llm().items():
+    import __spark_entry__
+
+    for name, f in __spark_entry__.queries().items():
         if name.startswith(("op7_", "op10_")):
             runs[name] = lambda f=f: f(spark, sf_dir)
     took: dict[str, float] = {}

@@ -71,7 +71,8 @@ def output_column(x: Column, kind: T.DataType) -> Column:
         return F.concat(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(x, ".SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
     if isinstance(kind, T.DayTimeIntervalType):
         x = x.cast("interval day to second")
-        s = F.abs(F.extract(F.lit("DAY"), x).cast("long") * 86400 + F.extract(F.lit("HOUR"), x) * 3600 + F.extract(F.lit("MINUTE"), x) * 60 + F.floor(F.abs(F.extract(F.lit("SECOND"), x))))
+        part = lambda p: F.extract(F.lit(p), x)
+        s = F.floor(F.abs(part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")))
         two = lambda v: F.lpad(v.cast("string"), 2, "0")
         clock = F.concat_ws(":", F.when(s >= 360000, F.floor(s / 3600).cast("string")).otherwise(two(F.floor(s / 3600))), two(F.floor(s / 60) % 60), two(s % 60))
         return F.when(x.isNotNull(), F.concat(F.when(x < F.expr("INTERVAL '0' SECOND"), "-").otherwise(""), clock))
