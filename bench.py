@@ -38,11 +38,6 @@ def main() -> None:
         **{name: (lambda f=every[name]: f(spark, sf_dir)) for name in ("filter_group_mean_lineitem", "group_sum_lineitem", "filter_numeric_lineitem", "head_lineitem", "sample_100_lineitem", "quoted_newlines_documents", "quoted_json_events", "delim_guess_orders", "fwf_overlap_orders", "lines_documents", "problems_customer")},
     }
     sinks = {"write_lineitem": lambda: q.rendered(q._table(spark, sf_dir, "lineitem"), "|")}
-    import __spark_entry__
-
-    for name, f in __spark_entry__.queries().items():
-        if name.startswith(("op7_", "op10_")):
-            runs[name] = lambda f=f: f(spark, sf_dir)
     took: dict[str, float] = {}
     for name, make in (runs | sinks).items():
         best = None
@@ -50,6 +45,8 @@ def main() -> None:
             began = time.time()
             make().write.format("noop").mode("overwrite").save()
             best = min(best or 1e9, time.time() - began)
+            if best > 15:
+                break
         took[name] = round(best, 3)
     total = round(sum(took.values()), 3)
     print(json.dumps({"metric": "total seconds of the headline queries", "value": total, "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1], "lineitem_text_mb": round(size / 1e6, 1), "read_full_mb_per_sec": round(size / 1e6 / took["read_full"], 1)}))
