@@ -43,6 +43,23 @@ MAX_ATTEMPTS = 24
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"\p{Lu}[\p{L}'’]*\p{Ll}"
+# Cards are 13 to 19 digits: in one run, whatever number stands beside it; in groups of four with one
+# separator and a last group of up to three that stands alone, or as 4-6-5 and 4-6-4; or split otherwise,
+# without a longer run. A year or a short number before a card in groups is no part of it.
+_YEAR = r"(?:19|20)\d\d"
+_FOURS = r"(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3})(?!\d)"
+_LEAD = rf"(?!{_YEAR}(?:(?:[ \-]\d{{4}}){{4}})+(?<![ \-]{_YEAR})(?![ \-]?\d))(?!\d{{1,3}}[ \-]{_FOURS})"
+
+
+def _grouped(by: str) -> str:
+    fours = rf"\d{{4}}(?:{by}\d{{4}}){{2}}{by}"
+    return rf"(?:{fours}\d{{4}}{by}\d{{1,3}}(?![ .\-/:]?\d)|{fours}\d{{4}}(?!\d)|\d{{4}}{by}\d{{6}}{by}\d{{4,5}}(?!\d)|{fours}\d{{1,3}}(?![ .\-/:]?\d))"
+
+
+_CARD = (
+    r"(?<!\d)(?:\d{13,19}(?!\d)|" + _LEAD + f"(?:{_grouped(' ')}|{_grouped('-')}|"
+    r"(?<!-)(?!(?:\d{1,12}[ \-])*\d{13})\d(?:[ \-]?\d){12,18}(?!\.\d)" + rf"(?:(?= (?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))|(?![ \-]?\d))))"
+)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"',;]{4,}",
@@ -50,8 +67,8 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?!-?\d)",
-    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![ \-]?\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)",
+    "card": _CARD,
+    "phone": rf"(?<![\w+]){_LEAD}" + r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)",
     "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(t for x in TITLES.values() for t in x)})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(n for x in GIVEN.values() for n in x)}) {_WORD})(?!\p{{L}})",
 }
 #: No entity begins inside a run of letters, nor with a character outside these; most places end here.

@@ -128,6 +128,43 @@ def test_surrogates(spark):
     assert pii.replace_pii(df.limit(0), "k").count() == 0
 
 
+CARD = "9807915762804490"
+GROUPED = "4799 1346 8104 4206"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("7536784127813050 4845168114407329", ["7536784127813050", "4845168114407329"]),
+        (f"{CARD}-4845168114407329", [CARD, "4845168114407329"]),
+        (f"card {CARD} 2024", [CARD]),
+        (f"card 2024 {CARD}", [CARD]),
+        (f"12-{CARD}-12", [CARD]),
+        (f"card {CARD} 123.190.179.76", [CARD, "123.190.179.76"]),
+        (f"123.190.179.76 {CARD}", ["123.190.179.76", CARD]),
+        (f"{CARD} 319-555-5132", [CARD, "319-555-5132"]),
+        (f"319-555-5132 {CARD}", ["319-555-5132", CARD]),
+        (f"{GROUPED} {GROUPED}", [GROUPED, GROUPED]),
+        (f"{GROUPED} {CARD}", [GROUPED, CARD]),
+        (f"{CARD} {GROUPED}", [CARD, GROUPED]),
+        (f"{GROUPED} 2024", [GROUPED]),
+        (f"2024 {GROUPED}", [GROUPED]),
+        (f"12 {GROUPED} 12/27", [GROUPED]),
+        (f"{GROUPED} 123.190.179.76", [GROUPED, "123.190.179.76"]),
+        (f"319-555-5132 {GROUPED}", ["319-555-5132", GROUPED]),
+        ("4799-1346-8104-4206 3782 822463 10005 2024", ["4799-1346-8104-4206", "3782 822463 10005"]),
+        ("6304 1234 5678 9012 345 end", ["6304 1234 5678 9012 345"]),
+        ("3056 930902 5904, 4222 2222 2222 2", ["3056 930902 5904", "4222 2222 2222 2"]),
+        ("47991 34681 044206 123.190.179.76", ["47991 34681 044206", "123.190.179.76"]),
+        ("12345678901234567890 and 123456789012", []),
+    ],
+)
+def test_cards_beside_other_numbers(spark, text, found):
+    row = spark.createDataFrame([(text,)], "text string").select(pii._matches(F.col("text")).alias("m"), F.transform(pii._matches(F.col("text")), pii.kind_of).alias("k")).first()
+    assert row.m == found
+    assert row.k == ["ip" if "." in m else "phone" if m.startswith("319") else "card" for m in found]
+
+
 def test_surrogates_stay_distinct_when_they_collide(spark):
     # all two-digit ends of one card body: a permutation of a full set always meets real entities
     entities = spark.createDataFrame([("ssn", f"1{k:08d}") for k in range(300)] + [("phone", f"1{k:01d}") for k in range(4)], "kind string, canon string")
