@@ -4,8 +4,11 @@ Entities are found by one pattern. Each kind has a canonical form, so that two s
 entity get one surrogate, and a keyed permutation of the canonical forms of its format: a Feistel
 network whose rounds shift every character within its class (digits, letters of one script and
 case), so that length, script and format stay and two entities never meet. Given names move
-along a keyed cycle of names of the same gender and script. A surrogate that equals an entity of
-the corpus, or that of another one after a second draw, is drawn again with the next attempt.
+along a keyed cycle of names of the same gender and script. A family name has one surrogate for
+all its bearers, along a cycle of family names, or by the permutation where those nearby are
+taken. A surrogate that equals an entity of the corpus, or that of another one after a second
+draw, is drawn again with the next attempt; a family's never equals a family of the corpus, so no
+full name's surrogate equals a real name.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ GIVEN = {
     ("m", "cyrillic"): "Александр Дмитрий Сергей Андрей Алексей Михаил Николай Владимир".split(),
 }
 FAMILY = {
-    "latin": "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Martin Dubois Bernard Moreau Laurent Schmidt Schneider Fischer Weber Wagner Becker Garcia Martinez Lopez Gonzalez Perez Sanchez".split(),
-    "cyrillic": "Иванов Смирнов Кузнецов Попов Соколов Лебедев Козлов Новиков".split(),
+    "latin": "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Martin Dubois Bernard Moreau Laurent Schmidt Schneider Fischer Weber Wagner Becker Garcia Martinez Lopez Gonzalez Perez Sanchez Thompson Clark Lewis Walker Hall Young Allen King Wright Hill Green Baker Nelson Carter Mitchell Turner Phillips Campbell Parker Evans Edwards Collins Stewart Morris Durand Lefebvre Leroy Roux Fournier Girard Bonnet Lambert Hoffmann Koch Richter Klein Wolf Neumann Schwarz Zimmermann Krüger Hartmann Torres Ramirez Flores Rivera Gomez Diaz Morales Ortiz".split(),
+    "cyrillic": "Иванов Смирнов Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов Петров Волков Соловьёв Васильев Зайцев Павлов Семёнов Голубев Виноградов Богданов Воробьёв".split(),
 }
 TITLES = {
     "f": "Mrs Ms Miss Frau Señora Sra Madame Mme".split(),
@@ -40,6 +43,8 @@ ALPHABETS = [
 HEX = "abcdef"
 ROUNDS = 4
 MAX_ATTEMPTS = 24
+#: Attempts of a family name along its cycle, before letters are drawn.
+FAMILY_STEPS = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"\p{Lu}[\p{L}'’]*\p{Ll}"
@@ -185,12 +190,13 @@ def _ip(text: Column, attempt: Column, key: str) -> Column:
 
 
 def _cycle(names: list[str], key: str) -> dict[str, str]:
+    """The names that follow each one on their keyed cycle, with blanks between them."""
     order = sorted((n.lower() for n in names), key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).hexdigest())
-    return dict(zip(order, order[1:] + order[:1]))
+    return {n: " ".join(order[k + 1 :] + order[:k]) for k, n in enumerate(order)}
 
 
 def _known_names(key: str) -> tuple[Column, Column]:
-    """Moves of known given and family names along their keyed cycles."""
+    """What follows the known given and family names on their keyed cycles."""
     tables = []
     for groups in (GIVEN, FAMILY):
         moves = {k: v for names in groups.values() for k, v in _cycle(names, key).items()}
@@ -198,6 +204,11 @@ def _known_names(key: str) -> tuple[Column, Column]:
     return tables[0], tables[1]
 
 
+def _onward(following: Column, steps: Column) -> Column:
+    """The name ``steps + 1`` places further; the cycle is walked again where it ends."""
+    return let(F.split(following, " "), lambda x: F.get(x, (steps % F.size(x)).cast("int")))
+
+
 def _parts(text: Column, kind: Column) -> Column:
     """The parts of a canonical form that are permuted; what is left out stays."""
     n = F.length(text)
@@ -214,20 +225,25 @@ def _parts(text: Column, kind: Column) -> Column:
     )
 
 
-def surrogate(text: Column, kind: Column, attempt: Column, key: str) -> Column:
+def surrogate(text: Column, kind: Column, attempt: Column, key: str, family_attempt: Column | None = None) -> Column:
     """Surrogate of a canonical form; for each kind, format and attempt a permutation.
 
+    Of a name, ``attempt`` moves the given part and ``family_attempt`` (0 if none) the last one,
+    which every name with this family shares.
+
     The first digit of a card, phone or social security number, the exchange's first digit of a
     ten-digit phone, the Luhn remainder of a card, the top-level domain, the first four
     characters of an access key and the country of an account number stay.
     """
     given, family = _known_names(key)
+    of_family = F.lit(0) if family_attempt is None else family_attempt
     n = F.length(text)
 
     def moved(part: Column, i: Column) -> Column:
         first = (i == 0) & text.contains(" ")
-        known = F.when((kind == "name") & (attempt == 0), F.coalesce(F.when(first, given[part]), family[part]))
-        return F.coalesce(known, permuted(part, kind, attempt, key))
+        listed = F.when(first, _onward(given[part], attempt)).when(of_family < FAMILY_STEPS, _onward(family[part], of_family))
+        tried = F.when((kind == "name") & ~first, of_family).otherwise(attempt)
+        return F.coalesce(F.when(kind == "name", listed), permuted(part, kind, tried, key))
 
     def whole(new: Column) -> Column:
         one = new[0]
@@ -289,13 +305,8 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(_entity(F.col("m")).alias("e")).select("e.kind", "e.canon").distinct()
 
 
-def attempts(found: DataFrame, key: str) -> DataFrame:
-    """``(kind, canon, attempt)`` of the entities whose first surrogate collides.
-
-    A surrogate collides with any entity of the corpus, its own included, and with the surrogate
-    of another entity; of two, the one with fewer attempts and then the smaller form stays.
-    """
-    new = surrogate(F.col("canon"), F.col("kind"), F.col("attempt"), key)
+def _settled(found: DataFrame, new: Column) -> DataFrame:
+    """``found`` with the first ``attempt`` of each entity whose surrogate ``new`` doesn't collide."""
     state = cut(found.withColumn("attempt", F.lit(0)).withColumn("new", new))
     real = state.select("kind", F.col("canon").alias("new"))
     for _ in range(MAX_ATTEMPTS):
@@ -304,12 +315,34 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         shared_hit = state.join(shared, ["kind", "new"]).where("canon <> first.canon").select("kind", "canon")
         hit = cut(real_hit.unionByName(shared_hit).distinct())
         if hit.isEmpty():
-            return state.where("attempt > 0").select("kind", "canon", "attempt")
+            return state.drop("new")
         again = state.join(hit, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         state = cut(state.join(hit, ["kind", "canon"], "left_anti").unionByName(again.withColumn("new", new)))
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
+def attempts(found: DataFrame, key: str) -> DataFrame:
+    """``(kind, canon, attempt, family_attempt)`` of the entities whose first surrogate collides.
+
+    A surrogate collides with any entity of the corpus, its own included, and with the surrogate
+    of another entity; of two, the one with fewer attempts and then the smaller form stays.
+    Family names settle first, as entities of their own, so that all their bearers keep one
+    surrogate; the given part alone tells full names apart.
+    """
+    found = cut(found)
+    canon, kind, attempt = F.col("canon"), F.col("kind"), F.col("attempt")
+    named = found.where(kind == "name").withColumn("family", F.substring_index("canon", " ", -1))
+    families = named.select(F.lit("family").alias("kind"), F.col("family").alias("canon")).distinct()
+    alone = F.when(kind == "family", "name").otherwise(kind)
+    single = _settled(found.where(kind != "name").unionByName(families), surrogate(canon, alone, attempt, key, attempt))
+    settled = single.where(kind == "family").select(canon.alias("family"), attempt.alias("family_attempt"))
+    full = named.join(settled, "family").drop("family")
+    full = _settled(full, surrogate(canon, kind, attempt, key, F.col("family_attempt")))
+    rest = single.where(kind != "family").withColumn("family_attempt", F.lit(0))
+    both = rest.unionByName(full.select(*rest.columns)).where("attempt > 0 OR family_attempt > 0")
+    return both.select("kind", "canon", "attempt", "family_attempt")
+
+
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col``; ``count_col`` names a new column for their number.
 
@@ -321,21 +354,22 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     text = F.col(text_col)
     df = docs.withColumn("__m", F.coalesce(_matches(text), F.array().cast("array<string>")))
     if again.isEmpty():
-        df = df.withColumn("__again", F.lit(None).cast("map<string,int>"))
+        df = df.withColumn("__again", F.lit(None).cast("map<string,struct<attempt:int,family_attempt:int>>"))
     else:
         # the attempts of a document depend on its entities alone, so these are the join's key
         named = lambda m: F.concat_ws("|", _entity(m)["kind"], _entity(m)["canon"])
         df = df.withColumn("__key", F.when(F.size("__m") > 0, F.sha2(F.to_json(F.array_sort(F.array_distinct("__m"))), 256)))
         sets = df.where("__key IS NOT NULL").select("__key", "__m").dropDuplicates(["__key"])
         sets = sets.select("__key", F.explode(F.array_distinct(F.transform("__m", named))).alias("name"))
-        more = again.select(F.concat_ws("|", "kind", "canon").alias("name"), "attempt")
-        maps = sets.join(more, "name").groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("name", "attempt"))).alias("__again"))
+        more = again.select(F.concat_ws("|", "kind", "canon").alias("name"), F.struct("attempt", "family_attempt").alias("tries"))
+        maps = sets.join(more, "name").groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("name", "tries"))).alias("__again"))
         df = df.join(maps, "__key", "left").drop("__key")
 
     def new_text(m: Column) -> Column:
         def of(e: Column) -> Column:
-            attempt = F.coalesce(F.col("__again")[F.concat_ws("|", e["kind"], e["canon"])], F.lit(0))
-            new = let(attempt, lambda drawn: surrogate(e["canon"], e["kind"], drawn, key))
+            tries = F.col("__again")[F.concat_ws("|", e["kind"], e["canon"])]
+            tries = F.struct(*[F.coalesce(tries[c], F.lit(0)).alias(c) for c in ("attempt", "family_attempt")])
+            new = let(tries, lambda drawn: surrogate(e["canon"], e["kind"], drawn["attempt"], key, drawn["family_attempt"]))
             return let(new, lambda x: rendered(m, e["kind"], e["canon"], x))
 
         return let(_entity(m), of)

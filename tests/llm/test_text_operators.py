@@ -176,6 +176,21 @@ def test_surrogates_stay_distinct_when_they_collide(spark):
     assert not set(drawn) & {tuple(e) for e in entities.collect()}
 
 
+def test_names_keep_gender_and_family_on_a_full_corpus(spark):
+    pairs = [(g, f, sex, script) for (sex, script), names in pii.GIVEN.items() for g in names for f in pii.FAMILY[script]]
+    title = {"f": "Mrs", "m": "Mr"}
+    rows = [(k, f"{g} {f}, {title[sex]}. {g} {f} and {title[sex]} {f}, also Dr. Xyvor {f}") for k, (g, f, sex, _) in enumerate(pairs)]
+    got = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    real, whole, family, given = {(g, f) for g, f, _, _ in pairs}, set(), {}, {}
+    for k, (g, f, sex, script) in enumerate(pairs):
+        new = re.fullmatch(r"(\w+) (\w+), (\w+)\. (\w+) (\w+) and (\w+) (\w+), also Dr\. (\w+) (\w+)", got[k])
+        assert new[1] == new[4] != g and new[1] in pii.GIVEN[sex, script] and new[3] == new[6] == title[sex]
+        assert new[2] == new[5] == new[7] == new[9] and family.setdefault(f, new[2]) == new[2]
+        assert (new[1], new[2]) not in real
+        whole.add((new[1], new[2]))
+    assert len(whole) == len(pairs) and len(set(family.values())) == len(family)
+
+
 def test_hilbert_curve_and_shards(spark, edge):
     for n, bits in ((2, 3), (3, 2), (3, 4)):
         cells = spark.range(1 << n * bits).select(*[(F.shiftright("id", bits * i) % (1 << bits)).alias(f"x{i}") for i in range(n)])
