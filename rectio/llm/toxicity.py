@@ -3,7 +3,8 @@
 Every word enters the network as a hashed word embedding, the mean embedding of its hashed
 character n-grams, and the log-odds of the word and of its most telling n-gram. Two recurrent
 passes read a window of words, attention pools their states, and a document's score is that
-of its highest window; windows overlap by half and cover the whole text. The network is
+of its highest window; windows overlap by half and cover the whole text. A word of over 64 bytes,
+such as text without blanks, takes a place for each of its overlapping parts. The network is
 trained in numpy on the driver from a bounded sample of labelled documents, and scores run in
 Arrow batches on the executors.
 """
@@ -23,6 +24,8 @@ WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 16
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
 GRAM_SIZES = (3, 4, 5, 6)
+#: Words of more bytes fall into parts of so many, each so far after the last; what two parts share holds every n-gram.
+LONG_BYTES, PART_BYTES, PART_STRIDE = 64, 24, 18
 #: Labelled documents of each class that a fit takes at most, and the longest text among them.
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.3
@@ -33,12 +36,24 @@ _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+    """Words, the long ones in parts; a blank stands where the word goes on before or after a part."""
+    words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+    if max(map(len, words), default=0) <= LONG_BYTES:
+        return words
+    return [part for word in words for part in (_parts(word) if len(word) > LONG_BYTES else (word,))]
+
+
+def _parts(word: bytes) -> list[bytes]:
+    last = -(-(len(word) - PART_BYTES) // PART_STRIDE) * PART_STRIDE
+    return [
+        (b" " if at else b"") + word[at : at + PART_BYTES] + (b" " if at < last else b"")
+        for at in range(0, last + 1, PART_STRIDE)
+    ]
 
 
 def grams_of(word: bytes) -> list[int]:
-    """Buckets of the n-grams of a word between its marks; at most 64 bytes of a word count here."""
-    marked = b"<" + word[:64] + b">"
+    """Buckets of the n-grams of a word, or of a part of one, with marks at the word's ends."""
+    marked = (b"" if word[:1] == b" " else b"<") + word.strip(b" ") + (b"" if word[-1:] == b" " else b">")
     crc = zlib.crc32
     return [crc(marked[i : i + n]) % GRAM_BUCKETS for n in GRAM_SIZES for i in range(len(marked) - n + 1)] or [crc(marked) % GRAM_BUCKETS]
 

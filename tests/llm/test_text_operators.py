@@ -321,6 +321,30 @@ def test_toxicity_network(spark, edge):
     assert toxicity.score(docs.limit(0), network).count() == 0
 
 
+def test_words_of_any_length_give_all_their_grams():
+    for size in (1, 63, 64, 65, 112, 113, 500):
+        word = bytes(np.random.default_rng(size).integers(97, 123, size).astype(np.uint8))
+        marked = b"<" + word + b">"
+        want = {zlib.crc32(marked[i : i + n]) % toxicity.GRAM_BUCKETS for n in toxicity.GRAM_SIZES for i in range(len(marked) - n + 1)}
+        parts = toxicity.words_of(word.decode())
+        assert {g for part in parts for g in toxicity.grams_of(part)} == want | ({zlib.crc32(marked) % toxicity.GRAM_BUCKETS} if not want else set())
+        assert all(len(part.strip()) <= toxicity.LONG_BYTES for part in parts)
+
+
+def test_toxic_phrase_at_the_end_of_unspaced_text(spark):
+    rng, phrase = random.Random(6), "滚开你这个蠢货去死吧没人要你"
+
+    def text(toxic):
+        return "".join(chr(rng.randint(0x4E00, 0x4E00 + 40)) for _ in range(rng.randint(40, 300))) + (phrase if toxic else "")
+
+    rows = [(k, text(k % 4 == 0), int(k % 4 == 0)) for k in range(1000)]
+    network = toxicity.train([t for _, t, _ in rows[:800]], [y for *_, y in rows[:800]])
+    held = rows[800:] + [(1000 + k, t.replace(phrase, f"\u00a0{phrase}"), y) for k, t, y in rows[800:]]
+    docs = spark.createDataFrame([r[:2] for r in held], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, network).collect()}
+    assert sum((got[k] >= toxicity.THRESHOLD) == bool(y) for k, _, y in held) >= 0.97 * len(held)
+
+
 def test_network_gradients():
     network = toxicity.Network.fresh(1)
     network.bias[:] = 0
