@@ -7,18 +7,24 @@ case), so that length, script and format stay and two entities never meet. Given
 along a keyed cycle of names of the same gender and script. A family name has one surrogate for
 all its bearers, along a cycle of family names, or by the permutation where those nearby are
 taken. A surrogate that equals an entity of the corpus, or that of another one after a second
-draw, is drawn again with the next attempt; a family's never equals a family of the corpus, so no
-full name's surrogate equals a real name.
+draw, is drawn again with the next attempt. Where a corpus fills a format, so that attempts run
+out, the entities that are left trade places with one another: each gets the text of the next one
+of its format, which no other surrogate equals. Surrogates are thus always distinct and never the
+entity itself; the one exception is a text of marks only (``****``), whose format holds nothing
+else and which stays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rectio.llm.common import cut
+from rectio.llm.common import cut, unused
 
 # Given names by gender and script, family names, and titles by gender.
 GIVEN = {
@@ -41,8 +47,15 @@ ALPHABETS = [
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω",
 ]
 HEX = "abcdef"
+#: First and last code points of scripts whose letters move within a range: kana, Han, Hangul, Arabic, Hebrew, Devanagari, Thai.
+RANGES = [(0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x0621, 0x064A), (0x05D0, 0x05EA), (0x0905, 0x0939), (0x0E01, 0x0E2E)]
 ROUNDS = 4
-MAX_ATTEMPTS = 24
+#: Draws before the entities of a full format trade places.
+MAX_ATTEMPTS = 12
+#: Rows of one format that trade places within one task.
+PART_ROWS = 50_000
+#: Colliding entities that travel inside the plan; more of them meet the documents in a join.
+FEW = 500
 #: Attempts of a family name along its cycle, before letters are drawn.
 FAMILY_STEPS = 4
 
@@ -50,10 +63,12 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"\p{Lu}[\p{L}'’]*\p{Ll}"
 # Cards are 13 to 19 digits: in one run, whatever number stands beside it; in groups of four with one
 # separator and a last group of up to three that stands alone, or as 4-6-5 and 4-6-4; or split otherwise,
-# without a longer run. A year or a short number before a card in groups is no part of it.
+# without a longer run. A year or a short number before a card in groups is no part of it, nor before up
+# to 32 such cards side by side. Java's matcher recurses into repeated groups of varying length, so such
+# groups are possessive and bounded here, or flat classes.
 _YEAR = r"(?:19|20)\d\d"
 _FOURS = r"(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3})(?!\d)"
-_LEAD = rf"(?!{_YEAR}(?:(?:[ \-]\d{{4}}){{4}})+(?<![ \-]{_YEAR})(?![ \-]?\d))(?!\d{{1,3}}[ \-]{_FOURS})"
+_LEAD = rf"(?!{_YEAR}(?:(?:[ \-]\d{{4}}){{4}}){{1,32}}(?<![ \-]{_YEAR})(?![ \-]?\d))(?!\d{{1,3}}[ \-]{_FOURS})"
 
 
 def _grouped(by: str) -> str:
@@ -63,10 +78,10 @@ def _grouped(by: str) -> str:
 
 _CARD = (
     r"(?<!\d)(?:\d{13,19}(?!\d)|" + _LEAD + f"(?:{_grouped(' ')}|{_grouped('-')}|"
-    r"(?<!-)(?!(?:\d{1,12}[ \-])*\d{13})\d(?:[ \-]?\d){12,18}(?!\.\d)" + rf"(?:(?= (?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))|(?![ \-]?\d))))"
+    r"(?<!-)(?!(?:\d{1,12}+[ \-]){0,18}+\d{13})\d(?:[ \-]?\d){12,18}(?!\.\d)" + rf"(?:(?= (?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))|(?![ \-]?\d))))"
 )
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9\-])[A-Za-z0-9.\-]*[A-Za-z0-9\-]\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|token)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"',;]{4,}",
     "aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -124,23 +139,39 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _shifted(text: Column, hexed: Column, *seed: Column, key: str) -> Column:
-    """Every character moves within its alphabet; what has none stays."""
-    both = [a for low in ALPHABETS for a in dict.fromkeys((low, low.upper().replace("SS", "ẞ")))]
-    alphabets = F.array(*[F.lit(a) for a in both])
+_CASES = [a for low in ALPHABETS for a in dict.fromkeys((low, low.upper().replace("SS", "ẞ")))] + [HEX]
+_CHARS = "".join(_CASES)
+_STARTS = [len("".join(_CASES[:k])) for k, a in enumerate(_CASES) for _ in a]
+_SIZES = [len(a) for a in _CASES for _ in a]
+
+
+def _moved(c: Column, hexed: Column, by: Column) -> Column:
+    """A character ``by`` places on in its alphabet or range; what has none stays."""
+    # one literal each, once constants are folded
+    table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    at = F.when(hexed & F.contains(F.lit(HEX), c), F.position(c, F.lit(HEX)) + len(_CHARS) - len(HEX)).otherwise(F.position(c, F.lit(_CHARS)))
+
+    def listed(k: Column) -> Column:
+        start, size = F.get(table(_STARTS), k - 1), F.get(table(_SIZES), k - 1)
+        return F.get(F.split(F.lit(_CHARS), "", -1), (start + (k - 1 - start + by) % size).cast("int"))
 
-    def one(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        own = F.filter(alphabets, lambda a: F.contains(a, c))
-        own = F.when(hexed & F.contains(F.lit(HEX), c), F.array(F.lit(HEX))).otherwise(own)
+    def ranged(code: Column) -> Column:
+        new = F.lit(None).cast("long")
+        for low, high in RANGES:
+            new = F.when(code.between(low, high), low + (code - low + by) % (high - low + 1)).otherwise(new)
+        return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(new), 8, "0")), "UTF-32"), c)
 
-        def moved(a: Column) -> Column:
-            at = F.position(c, a)
-            return F.substring(a, ((at - 1 + _draw(key, *seed, i)) % F.length(a) + 1).cast("int"), F.lit(1))
+    return let(at, lambda k: F.when(k > 0, listed(k)).when(c < "\u0100", c).otherwise(let(F.ascii(c).cast("long"), ranged)))
+
+
+def _shifted(text: Column, hexed: Column, *seed: Column, key: str) -> Column:
+    """Every character moves within its alphabet by a keyed stream: hashes of its place under a secret digest of the seed."""
+    start = F.sha2(F.concat_ws("|", F.lit(key), *[x.cast("string") for x in seed]), 256)
 
-        return F.coalesce(F.get(F.transform(own, moved), F.lit(0)), c)
+    def stream(d: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, "", -1), lambda c, i: _moved(c, hexed, F.pmod(F.xxhash64(d, i), F.lit(1 << 40)))), "")
 
-    return F.array_join(_each(F.length(text), one), "")
+    return F.when(F.length(text) > 0, let(start, stream)).otherwise("")
 
 
 def permuted(text: Column, kind: Column, attempt: Column, key: str) -> Column:
@@ -154,10 +185,12 @@ def permuted(text: Column, kind: Column, attempt: Column, key: str) -> Column:
 
     def turn(s: Column, r: Column) -> Column:
         even = r % 2 == 0
-        moved = _shifted(F.when(even, s["b"]).otherwise(s["a"]), s["hexed"], kind, attempt, r, F.when(even, s["a"]).otherwise(s["b"]), key=key)
-        return let(
-            moved,
-            lambda x: F.struct(F.when(even, s["a"]).otherwise(x).alias("a"), F.when(even, x).otherwise(s["b"]).alias("b"), s["hexed"].alias("hexed")),
+
+        def moved(own: Column, other: Column) -> Column:
+            return _shifted(own, s["hexed"], kind, attempt, r, other, key=key)
+
+        return F.when(even, F.struct(s["a"].alias("a"), moved(s["b"], s["a"]).alias("b"), s["hexed"].alias("hexed"))).otherwise(
+            F.struct(moved(s["a"], s["b"]).alias("a"), s["b"].alias("b"), s["hexed"].alias("hexed"))
         )
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, turn, lambda s: F.concat(s["a"], s["b"]))
@@ -225,11 +258,37 @@ def _parts(text: Column, kind: Column) -> Column:
     )
 
 
-def surrogate(text: Column, kind: Column, attempt: Column, key: str, family_attempt: Column | None = None) -> Column:
+def _shape(text: Column) -> Column:
+    """Letters by script and case, digits, and marks as they are."""
+    out = F.regexp_replace(text, "[0-9]", "0")
+    for script, low, high in (("Latin", "a", "A"), ("Cyrillic", "б", "Б"), ("Greek", "α", "Α")):
+        out = F.regexp_replace(out, rf"[\p{{Is{script}}}&&\p{{Lu}}]", high)
+        out = F.regexp_replace(out, rf"[\p{{Is{script}}}&&\p{{Ll}}]", low)
+    return F.regexp_replace(F.regexp_replace(out, r"\p{IsHan}", "漢"), r"\p{IsHangul}", "한")
+
+
+def format_of(text: Column, kind: Column) -> Column:
+    """Canonical forms that may stand in for each other: all that a surrogate keeps."""
+    n, first = F.length(text), F.substring(text, 1, 1)
+    return (
+        F.when(kind == "ip", F.lit(""))
+        .when(kind == "card", F.concat_ws("|", n, first, luhn(text) % 10))
+        .when((kind == "phone") & (n == 10), F.concat_ws("|", n, first, F.substring(text, 4, 1)))
+        .when(kind.isin("phone", "ssn"), F.concat_ws("|", n, first))
+        .when(kind == "email", F.concat_ws("|", F.regexp_extract(text, r"(\.[a-z]+)$", 1), _shape(text)))
+        .when(kind.isin("aws", "iban"), F.concat_ws("|", F.substring(text, F.lit(1), F.when(kind == "aws", 4).otherwise(2)), _shape(text)))
+        .otherwise(_shape(text))
+    )
+
+
+def surrogate(
+    text: Column, kind: Column, attempt: Column, key: str, family_attempt: Column | None = None, fixed: Column | None = None, family_fixed: Column | None = None
+) -> Column:
     """Surrogate of a canonical form; for each kind, format and attempt a permutation.
 
     Of a name, ``attempt`` moves the given part and ``family_attempt`` (0 if none) the last one,
-    which every name with this family shares.
+    which every name with this family shares. ``fixed``, where not null, is the surrogate itself,
+    or of a full name its given part, and ``family_fixed`` the last one.
 
     The first digit of a card, phone or social security number, the exchange's first digit of a
     ten-digit phone, the Luhn remainder of a card, the top-level domain, the first four
@@ -237,13 +296,16 @@ def surrogate(text: Column, kind: Column, attempt: Column, key: str, family_atte
     """
     given, family = _known_names(key)
     of_family = F.lit(0) if family_attempt is None else family_attempt
+    nothing = F.lit(None).cast("string")
+    fixed, family_fixed = nothing if fixed is None else fixed, nothing if family_fixed is None else family_fixed
     n = F.length(text)
 
     def moved(part: Column, i: Column) -> Column:
         first = (i == 0) & text.contains(" ")
         listed = F.when(first, _onward(given[part], attempt)).when(of_family < FAMILY_STEPS, _onward(family[part], of_family))
         tried = F.when((kind == "name") & ~first, of_family).otherwise(attempt)
-        return F.coalesce(F.when(kind == "name", listed), permuted(part, kind, tried, key))
+        told = F.when(kind == "name", F.when(first, fixed).otherwise(family_fixed))
+        return F.coalesce(told, F.when(kind == "name", listed), permuted(part, kind, tried, key))
 
     def whole(new: Column) -> Column:
         one = new[0]
@@ -259,7 +321,8 @@ def surrogate(text: Column, kind: Column, attempt: Column, key: str, family_atte
             .otherwise(one)
         )
 
-    return F.when(kind == "ip", _ip(text, attempt, key)).otherwise(let(F.transform(_parts(text, kind), moved), whole))
+    drawn = F.when(kind == "ip", _ip(text, attempt, key)).otherwise(let(F.transform(_parts(text, kind), moved), whole))
+    return F.coalesce(F.when(kind != "name", fixed), drawn)
 
 
 def rendered(m: Column, kind: Column, canon: Column, new: Column) -> Column:
@@ -272,8 +335,7 @@ def rendered(m: Column, kind: Column, canon: Column, new: Column) -> Column:
 
     spaced = F.array_join(_each(F.length(m), digit), "")
 
-    def letter(i: Column) -> Column:
-        c, x = F.substring(m, i, F.lit(1)), F.substring(new, i, F.lit(1))
+    def letter(c: Column, x: Column) -> Column:
         return F.when(c != F.lower(c), F.upper(x)).otherwise(x)
 
     def blank(i: Column) -> Column:
@@ -282,7 +344,7 @@ def rendered(m: Column, kind: Column, canon: Column, new: Column) -> Column:
 
     return (
         F.when(kind.isin("card", "phone", "ssn"), spaced)
-        .when(kind == "email", F.array_join(_each(F.length(m), letter), ""))
+        .when(kind == "email", F.array_join(F.zip_with(F.split(m, "", -1), F.split(new, "", -1), letter), ""))
         .when(kind == "iban", F.array_join(_each(F.length(m), blank), ""))
         .when(kind == "secret", F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(canon)), new))
         .when(kind == "name", F.concat(F.regexp_extract(m, _TITLE, 0), F.initcap(new)))
@@ -305,80 +367,148 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(_entity(F.col("m")).alias("e")).select("e.kind", "e.canon").distinct()
 
 
-def _settled(found: DataFrame, new: Column) -> DataFrame:
-    """``found`` with the first ``attempt`` of each entity whose surrogate ``new`` doesn't collide."""
+def _settled(found: DataFrame, new: Column) -> tuple[DataFrame, bool]:
+    """``found`` with the first ``attempt`` of each entity whose surrogate ``new`` doesn't collide, ``left`` where none did, and whether any is."""
     state = cut(found.withColumn("attempt", F.lit(0)).withColumn("new", new))
     real = state.select("kind", F.col("canon").alias("new"))
-    for _ in range(MAX_ATTEMPTS):
+    for step in range(MAX_ATTEMPTS + 1):
         real_hit = state.join(real, ["kind", "new"], "left_semi").select("kind", "canon")
         shared = state.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
         shared_hit = state.join(shared, ["kind", "new"]).where("canon <> first.canon").select("kind", "canon")
         hit = cut(real_hit.unionByName(shared_hit).distinct())
         if hit.isEmpty():
-            return state.drop("new")
+            return state.drop("new").withColumn("left", F.lit(False)), False
+        if step == MAX_ATTEMPTS:
+            break
         again = state.join(hit, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         state = cut(state.join(hit, ["kind", "canon"], "left_anti").unionByName(again.withColumn("new", new)))
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
+    marked = state.drop("new").join(hit.withColumn("left", F.lit(True)), ["kind", "canon"], "left")
+    return cut(marked.withColumn("left", F.coalesce("left", F.lit(False)))), True
+
+
+def _traded(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``rows`` with the next ``value`` of their group as ``fixed``; of the last one the first.
+
+    A group of over ``PART_ROWS`` rows is dealt by a hash into parts of about so many, each on its own.
+    """
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    dealt = rows.join(sizes, by).withColumn("__part", F.pmod(F.xxhash64(value), F.greatest(F.lit(1), F.col("__n") / PART_ROWS).cast("long")))
+    part = Window.partitionBy(*by, "__part")
+    return dealt.withColumn("fixed", F.coalesce(F.lead(value).over(part.orderBy(value)), F.min(value).over(part))).drop("__n", "__part")
+
+
+def _swapped(settled: DataFrame) -> DataFrame:
+    """``settled`` with ``fixed`` for the rows that are left; one that is left alone takes the text of a settled one.
+
+    All others have surrogates that are no entities, so these texts are free.
+    """
+    shaped = settled.withColumn("__format", format_of(F.col("canon"), F.col("kind")))
+    ends = shaped.groupBy("kind", "__format").agg(F.min("canon").alias("__low"), F.max("canon").alias("__high"))
+    left = _traded(shaped.where("left"), ["kind", "__format"], "canon").join(ends, ["kind", "__format"])
+    other = F.when(F.col("__low") != F.col("canon"), F.col("__low")).otherwise(F.col("__high"))
+    left = left.withColumn("fixed", F.when(F.col("fixed") != F.col("canon"), F.col("fixed")).otherwise(other))
+    rest = settled.where("NOT left").withColumn("fixed", F.lit(None).cast("string"))
+    return rest.unionByName(left.select(*rest.columns))
+
+
+def _class_of(given: Column) -> Column:
+    """Gender and script of a listed given name, the shape of another one."""
+    listed = F.create_map(*[F.lit(x) for group, names in GIVEN.items() for n in names for x in (n.lower(), "|".join(group))])
+    return F.coalesce(listed[given], _shape(given))
 
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
-    """``(kind, canon, attempt, family_attempt)`` of the entities whose first surrogate collides.
+    """``(kind, canon, attempt, family_attempt, fixed, family_fixed)`` of the entities whose first surrogate collides.
 
     A surrogate collides with any entity of the corpus, its own included, and with the surrogate
     of another entity; of two, the one with fewer attempts and then the smaller form stays.
     Family names settle first, as entities of their own, so that all their bearers keep one
-    surrogate; the given part alone tells full names apart.
+    surrogate; the given part alone tells full names apart. After ``MAX_ATTEMPTS`` draws the
+    entities that still collide trade places within their format. If a full name is among them,
+    all given names that occur with its family do, each within its gender and script.
     """
     found = cut(found)
     canon, kind, attempt = F.col("canon"), F.col("kind"), F.col("attempt")
     named = found.where(kind == "name").withColumn("family", F.substring_index("canon", " ", -1))
     families = named.select(F.lit("family").alias("kind"), F.col("family").alias("canon")).distinct()
     alone = F.when(kind == "family", "name").otherwise(kind)
-    single = _settled(found.where(kind != "name").unionByName(families), surrogate(canon, alone, attempt, key, attempt))
-    settled = single.where(kind == "family").select(canon.alias("family"), attempt.alias("family_attempt"))
-    full = named.join(settled, "family").drop("family")
-    full = _settled(full, surrogate(canon, kind, attempt, key, F.col("family_attempt")))
-    rest = single.where(kind != "family").withColumn("family_attempt", F.lit(0))
-    both = rest.unionByName(full.select(*rest.columns)).where("attempt > 0 OR family_attempt > 0")
-    return both.select("kind", "canon", "attempt", "family_attempt")
+    single, swaps = _settled(found.where(kind != "name").unionByName(families), surrogate(canon, alone, attempt, key, attempt))
+    nothing = F.lit(None).cast("string")
+    single = cut(_swapped(single)) if swaps else single.withColumn("fixed", nothing)
+    whole = ["kind", "canon", "attempt", "family_attempt", "fixed", "family_fixed"]
+    collided = F.expr("attempt > 0 OR family_attempt > 0 OR fixed IS NOT NULL OR family_fixed IS NOT NULL")
+    out = single.where(kind != "family").withColumn("family_attempt", F.lit(0)).withColumn("family_fixed", nothing).select(*whole)
+    if named.isEmpty():
+        return out.where(collided)
+    settled = single.where(kind == "family").select(canon.alias("family"), attempt.alias("family_attempt"), F.col("fixed").alias("family_fixed"))
+    named = named.join(settled, "family")
+    # a name of one part has its family's surrogate
+    out = out.unionByName(named.where(~canon.contains(" ")).withColumn("attempt", F.lit(0)).withColumn("fixed", nothing).select(*whole))
+    full, swaps = _settled(named.where(canon.contains(" ")), surrogate(canon, kind, attempt, key, F.col("family_attempt"), None, F.col("family_fixed")))
+    if swaps:
+        crowded = cut(full.where("left").select("family").distinct())
+        given = full.join(crowded, "family", "left_semi").withColumn("given", F.substring_index("canon", " ", 1))
+        given = _traded(given.withColumn("class", _class_of(F.col("given"))), ["family", "class"], "given")
+        out = out.unionByName(given.select(*whole))
+        full = full.join(crowded, "family", "left_anti")
+    return out.unionByName(full.withColumn("fixed", nothing).select(*whole)).where(collided)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the setting ``spark.rectio.pii.key`` holds; without it a fresh one that no one else knows."""
+    return spark.conf.get("spark.rectio.pii.key", None) or secrets.token_hex(32)
+
+
+_TRIES = "struct<attempt:int,family_attempt:int,fixed:string,family_fixed:string>"
 
 
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text_col``; ``count_col`` names a new column for their number.
+    """``docs`` with surrogates in ``text_col``; ``count_col`` names a column for their number.
 
     A null text stays null with the number 0, an empty text stays empty; all rows, repeated ones
-    included, and all other columns are kept. Equal entities get equal surrogates in all
-    documents, different entities different ones; ``key`` decides which.
+    included, and all other columns are kept, whatever their names; a column of ``docs`` that is
+    named as ``count_col`` gives way to the number. Equal entities get equal surrogates in all
+    documents, different entities different ones; ``key`` decides which, and who knows it can undo
+    them. Entities and texts may be of any length.
+
+    Up to ``FEW`` colliding entities travel inside the plan. If there are more, documents meet them
+    in one join on a digest of their entities, where rows without any are spread by their number.
     """
-    again = attempts(entities(docs, text_col), key)
+    again = cut(attempts(entities(docs, text_col), key))
     text = F.col(text_col)
-    df = docs.withColumn("__m", F.coalesce(_matches(text), F.array().cast("array<string>")))
-    if again.isEmpty():
-        df = df.withColumn("__again", F.lit(None).cast("map<string,struct<attempt:int,family_attempt:int>>"))
+    found, tried, joined = unused(docs, "found", "tried", "joined")
+    df = docs.withColumn(found, F.coalesce(_matches(text), F.array().cast("array<string>")))
+    name = F.concat_ws("|", "kind", "canon")
+    some = again.limit(FEW + 1).select(name.alias("name"), "attempt", "family_attempt", "fixed", "family_fixed").collect()
+    if len(some) <= FEW:
+        table = {r["name"]: {k: r[k] for k in ("attempt", "family_attempt", "fixed", "family_fixed")} for r in some}
+        known = F.from_json(F.lit(json.dumps(table)), f"map<string,{_TRIES}>") if table else F.lit(None).cast(f"map<string,{_TRIES}>")
     else:
         # the attempts of a document depend on its entities alone, so these are the join's key
-        named = lambda m: F.concat_ws("|", _entity(m)["kind"], _entity(m)["canon"])
-        df = df.withColumn("__key", F.when(F.size("__m") > 0, F.sha2(F.to_json(F.array_sort(F.array_distinct("__m"))), 256)))
-        sets = df.where("__key IS NOT NULL").select("__key", "__m").dropDuplicates(["__key"])
-        sets = sets.select("__key", F.explode(F.array_distinct(F.transform("__m", named))).alias("name"))
-        more = again.select(F.concat_ws("|", "kind", "canon").alias("name"), F.struct("attempt", "family_attempt").alias("tries"))
-        maps = sets.join(more, "name").groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("name", "tries"))).alias("__again"))
-        df = df.join(maps, "__key", "left").drop("__key")
+        named = lambda m: let(_entity(m), lambda e: F.concat_ws("|", e["kind"], e["canon"]))
+        digest = F.sha2(F.to_json(F.array_sort(F.array_distinct(found))), 256)
+        df = df.withColumn(joined, F.when(F.size(found) > 0, digest).otherwise(F.concat(F.lit("~"), F.monotonically_increasing_id())))
+        sets = df.where(F.size(found) > 0).select(joined, found).dropDuplicates([joined])
+        sets = sets.select(joined, F.explode(F.array_distinct(F.transform(found, named))).alias("name"))
+        more = again.select(name.alias("name"), F.struct("attempt", "family_attempt", "fixed", "family_fixed").alias("tries"))
+        maps = sets.join(more, "name").groupBy(joined).agg(F.map_from_entries(F.collect_set(F.struct("name", "tries"))).alias(tried))
+        df = df.join(maps, joined, "left")
+        known = F.col(tried)
 
     def new_text(m: Column) -> Column:
         def of(e: Column) -> Column:
-            tries = F.col("__again")[F.concat_ws("|", e["kind"], e["canon"])]
-            tries = F.struct(*[F.coalesce(tries[c], F.lit(0)).alias(c) for c in ("attempt", "family_attempt")])
-            new = let(tries, lambda drawn: surrogate(e["canon"], e["kind"], drawn["attempt"], key, drawn["family_attempt"]))
-            return let(new, lambda x: rendered(m, e["kind"], e["canon"], x))
+            tries = known[F.concat_ws("|", e["kind"], e["canon"])]
+            drawn = lambda t: surrogate(
+                e["canon"], e["kind"], F.coalesce(t["attempt"], F.lit(0)), key, F.coalesce(t["family_attempt"], F.lit(0)), t["fixed"], t["family_fixed"]
+            )
+            return let(let(tries, drawn), lambda x: rendered(m, e["kind"], e["canon"], x))
 
         return let(_entity(m), of)
 
     between = F.split(text, ENTITY, -1)
     spliced = F.array_join(
-        F.zip_with(between, F.concat(F.transform("__m", new_text), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), ""
+        F.zip_with(between, F.concat(F.transform(found, new_text), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), ""
     )
-    df = df.withColumn(text_col, F.when(F.size("__m") > 0, spliced).otherwise(text))
-    if count_col:
-        df = df.withColumn(count_col, F.size("__m").cast("long"))
-    return df.select(*docs.columns, *([count_col] if count_col else []))
+    number = [F.size(found).cast("long").alias(count_col)] if count_col else []
+    new = F.when(F.size(found) > 0, spliced).otherwise(text).alias(text_col)
+    return df.select(*[new if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col], *number)

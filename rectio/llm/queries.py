@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from rectio.llm import bpe, decontaminate, embeddings, hilbert, langid, lattice, pii, quality, simhash, toxicity
 from rectio.llm.common import fold, table
 
-SURROGATE_KEY = "corpus"
-
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_pii(docs, SURROGATE_KEY, count_col="n_replaced")
+    return pii.replace_pii(docs, pii.session_key(spark), count_col="n_replaced")
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
