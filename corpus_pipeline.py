@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from rectio.llm import bpe, decontaminate, pii, simhash, toxicity
 from rectio.llm.common import ensure_checkpoint_dir, table
 
-SURROGATE_KEY = "corpus"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -47,7 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to surrogates; ``n_chars`` follows the new text."""
-    out = pii.replace_pii(docs, SURROGATE_KEY)
+    out = pii.replace_pii(docs, pii.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
