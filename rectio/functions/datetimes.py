@@ -189,12 +189,17 @@ def _date(f: Fields) -> Column:
 
 def parse_date(x: Column, fmt: str | None, loc: Locale) -> Column:
     fmt = fmt or loc.date_format
-    if fmt == "%AD":  # the usual case needs no groups
+    if fmt == "%AD":  # the usual spelling needs no pattern
         plain = F.regexp_replace(F.trim(x), "^([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})$", "$1-$2-$3")
-        return F.when(looks_like_date(x, fmt, loc), plain.try_cast("date"))
+        usual = (F.length(x) == 10) & _at(x, 5, "-") & _at(x, 8, "-")
+        return F.coalesce(F.when(usual, x.try_cast("date")), F.when(~usual & looks_like_date(x, fmt, loc), plain.try_cast("date")))
     return Fields.of(x, compile_format(fmt, loc), _date)
 
 
+def _at(x: Column, place: int, mark: str) -> Column:
+    return F.substring(x, place, len(mark)) == mark
+
+
 def looks_like_date(x: Column, fmt: str | None, loc: Locale) -> Column:
     return x.rlike(compile_format(fmt or loc.date_format, loc).pattern)
 
@@ -257,7 +262,7 @@ def parse_datetime(x: Column, fmt: str | None, loc: Locale) -> Column:
         return F.when(offset.isNotNull(), moved).otherwise(there)
 
     out = Fields.of(x, compile_iso8601() if fmt is None else compile_format(fmt, loc), build)
-    if fmt is None and at_utc:  # the canonical spelling needs no groups
-        plain = x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]{1,6})?Z?$")
-        out = F.when(plain, F.concat(F.rtrim(x, F.lit("Z")), F.lit("Z")).try_cast("timestamp")).otherwise(out)
+    if fmt is None and at_utc:  # the canonical spelling needs no pattern
+        marks = _at(x, 5, "-") & _at(x, 8, "-") & _at(x, 11, "T") & _at(x, 14, ":") & _at(x, 17, ":") & _at(x, 20, "Z")
+        out = F.coalesce(F.when((F.length(x) == 20) & marks, x.try_cast("timestamp")), out)
     return out

@@ -20,7 +20,9 @@ def parse_logical(x: Column) -> Column:
 
 
 def parse_integer(x: Column, kind: str = "int") -> Column:
-    return F.when(x.rlike("^-?[0-9]+$"), x.try_cast(kind))
+    """Digits after at most a minus; the cast alone would also take a plus and blanks at the ends."""
+    ends = (x >= "-") & (x < ":") & F.substring(x, -1, 1).between("0", "9")
+    return F.when(ends, x.try_cast(kind))
 
 
 def _mark(mark: str) -> str:
@@ -39,8 +41,11 @@ def parse_double(x: Column, loc: Locale) -> Column:
         value = F.when(special == "nan", float("nan")).when(special == "inf", infinite).otherwise(plain.try_cast("double"))
         return F.when(t.rlike(guard), value)
 
-    usual = "^[+-]?[0-9]+(?:[.][0-9]*)?(?:[eE][+-]?[0-9]+)?$" if loc.decimal_mark[:1] == "." else "^[+-]?[0-9]+$"
-    return F.when(x.rlike(usual), x.try_cast("double")).otherwise(let(x, unusual))
+    if loc.decimal_mark[:1] != ".":
+        return F.when(x.rlike("^[+-]?[0-9]+$"), x.try_cast("double")).otherwise(let(x, unusual))
+    # without letters the cast takes what the guard does, but for white space at the ends
+    ends = (x >= "+") & F.substring(x, -1, 1).between(".", "9")
+    return F.when(F.upper(x) == F.lower(x), F.when(ends, x.try_cast("double"))).otherwise(let(x, unusual))
 
 
 def _number_pattern(loc: Locale) -> tuple[str, str, str]:
@@ -89,6 +94,7 @@ SPARK_TYPES = {
     "factor": "string", "date": "date", "datetime": "timestamp", "time": "interval day to second",
 }
 
+# What a problem tells was expected.
 EXPECTED = {
     "logical": "1/0/T/F/TRUE/FALSE", "integer": "an integer", "big_integer": "a big integer", "double": "a double", "number": "a number",
     "factor": "value in level set", "character": "embedded null",

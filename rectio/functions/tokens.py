@@ -50,15 +50,20 @@ def _field(d: Dialect, stop: str = "", to_end: bool = False) -> str:
     return f"(?:{q}{inside}(?:{q}{between}{q}{inside})*+{f'(?:{closed}|\\z)' if to_end else closed}|(?!{q}){plain})"
 
 
+def special(record: Column, d: Dialect) -> Column:
+    """Whether a record holds a quote, escape or comment; most don't."""
+    marks = [mark for mark in (d.quote, "\\" if d.escape_backslash else "", d.comment) if mark]
+    return reduce(lambda a, b: a | b, [record.contains(mark) for mark in marks]) if marks else F.lit(False)
+
+
 def tokens(record: Column, d: Dialect, to_end: bool = False) -> Column:
     """Raw fields of a record, quotes and blanks kept; for a quote left open see :func:`is_open`."""
     plain = F.split(record, _quote(d.delim), -1)
-    special = [mark for mark in (d.quote, "\\" if d.escape_backslash else "", d.comment) if mark]
-    if not special:
+    if not (d.quote or d.escape_backslash or d.comment):
         return plain
     found = F.regexp_extract_all(F.concat(F.lit(d.delim), record), F.lit(f"(?s){_quote(d.delim)}({_field(d, to_end=to_end)})"), F.lit(1))
-    # most records hold nothing special, and splitting is several times as fast
-    return F.when(reduce(lambda a, b: a | b, [record.contains(mark) for mark in special]), found).otherwise(plain)
+    # splitting is several times as fast
+    return F.when(special(record, d), found).otherwise(plain)
 
 
 def is_open(record: Column, d: Dialect) -> Column:
@@ -92,8 +97,14 @@ def widened(raw: Column, d: Dialect, width: int) -> Column:
     return F.when(F.size(raw) > width, glued).otherwise(raw)
 
 
-def content(token: Column, d: Dialect) -> Column:
-    """Value of a raw field: trimmed, unquoted, trimmed again, escapes resolved."""
+def content(token: Column, d: Dialect, marked: Column | None = None) -> Column:
+    """Value of a raw field: trimmed, unquoted, trimmed again, escapes resolved.
+
+    ``marked`` tells whether the field's record holds anything :func:`special`.
+    """
+    if marked is not None:
+        plain = F.btrim(token, F.lit(_BLANKS)) if d.trim_ws else token
+        return F.when(marked, content(token, d)).otherwise(plain) if d.quote or d.escape_backslash else plain
     trim = (lambda x: F.btrim(x, F.lit(_BLANKS))) if d.trim_ws else (lambda x: x)
     x = trim(token)
     if d.quote:

@@ -11,37 +11,14 @@ from rectio.functions.locale import Locale, default_locale
 from rectio.functions.parsers import GUESS_ORDER, can_parse
 
 
-def sample_rows(rows: DataFrame, guess_max: int) -> DataFrame:
-    """Evenly spaced rows of ``rows(path, ordinal, ...)`` over all files, and the last one."""
-    from pyspark.sql.window import Window
-
-    counts = rows.groupBy("path").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counts = counts.select("path", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(every).alias("__all"))
-    at = F.col("__start") + F.col("ordinal") - 1
-    number = F.least(F.col("__all"), F.lit(guess_max))
-    step = F.floor(F.col("__all") / number)
-    spaced = (at % step == 0) & (at / step < number - 1)
-    return rows.join(counts, "path").where(spaced | (at == F.col("__all") - 1)).drop("__start", "__all")
-
-
 def guess_types(rows: DataFrame, columns: Sequence[str], loc: Locale, guess_integer: bool = False) -> list[str]:
     """Type of each text column by all its rows, in one pass: the first type that every value fits."""
     kinds = [k for k in GUESS_ORDER if k != "integer" or guess_integer]
-    tests = [
-        F.coalesce(F.every(F.col(c).isNull() | can_parse(F.col(c), kind, loc)), F.lit(True)).alias(f"{c}|{kind}")
-        for c in columns for kind in kinds
-    ]
-    filled = [F.count(c).alias(f"{c}|n") for c in columns]
-    found = rows.agg(*filled, *tests).first()
-    out = []
-    for c in columns:
-        if found[f"{c}|n"] == 0:
-            out.append("logical")
-        else:
-            out.append(next((k for k in kinds if found[f"{c}|{k}"]), "character"))
-    return out
+    # a row for each value, so that each type's expression is there once
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns])).alias("v")).select("v.c", "v.x")
+    tests = [F.every(can_parse(F.col("x"), kind, loc)).alias(kind) for kind in kinds]
+    found = {r["c"]: r for r in values.where("x IS NOT NULL").groupBy("c").agg(*tests).collect()}
+    return [next((k for k in kinds if found[c][k]), "character") if c in found else "logical" for c in columns]
 
 
 def guess_type(spark: SparkSession, values: Sequence[str | None], na: Sequence[str] = ("", "NA"), locale: Locale | None = None, guess_integer: bool = False) -> str:

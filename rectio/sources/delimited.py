@@ -8,21 +8,33 @@ Only files whose records hold line feeds are read whole, one file a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rectio.functions import tokens as tk
+from rectio.functions.datetimes import let
 from rectio.functions.locale import Locale, default_locale
 from rectio.functions.parsers import expected, parse_column
-from rectio.operators.guess import guess_types, sample_rows
+from rectio.operators.guess import guess_types
 from rectio.plans import select as sel
 from rectio.plans import spec as sp
-from rectio.sources.sniff import Head, first_record, guess_delim, read_head
-from rectio.sources.staging import stage
+from rectio.sources.rows import at_numbers, first_rows, numbered, pick, placed, splits, survey
+from rectio.sources.sniff import LATIN, Prefix, closed, decoded, first_record, guess_delim, read_head
+from rectio.sources.staging import Input, first_bytes, resolve
+
+_AT = ["path", "block", "at"]
+
+
+class ParseIssue(UserWarning):
+    """Some values of the input did not parse."""
 
 
 @dataclass
@@ -31,14 +43,60 @@ class RectFrame:
 
     df: DataFrame
     spec: sp.ColSpec
-    _problems: DataFrame | None = None
+    _problems: Callable[[], DataFrame] | None = None
+    _texts: DataFrame | None = None
+    _out: list[Column] | None = None
 
     def problems(self) -> DataFrame:
         """``row, col, expected, actual, file`` of what did not parse; rows count the header."""
         if self._problems is None:
             schema = "row long, col int, expected string, actual string, file string"
             return self.df.sparkSession.createDataFrame([], schema)
-        return self._problems.distinct().orderBy("file", "row", "col")
+        return self._problems().distinct().orderBy("file", "row", "col")
+
+    def warn(self) -> bool:
+        """Look for problems, and warn of a :class:`ParseIssue` if there are any."""
+        some = self._problems is not None and not self._problems().isEmpty()
+        if some:
+            warnings.warn("some values did not parse; see problems()", ParseIssue, stacklevel=2)
+        return some
+
+    def show_col_types(self) -> str:
+        """Delimiter and columns by type, printed and returned; rows aren't counted, for that would read them."""
+        kinds = self.spec.summary()
+        lines = [f"Columns: {sum(map(len, kinds.values()))}"] + ([f"Delimiter: {self.spec.delim!r}"] if self.spec.delim else [])
+        lines += [f"{kind} ({len(names)}): {', '.join(names)}" for kind, names in kinds.items()]
+        print("\n".join(lines))
+        return "\n".join(lines)
+
+    def rows(self, numbers: Sequence[int | None], name: str = "row") -> DataFrame:
+        """The rows with these numbers, from 1 on over all files by name; ``name`` tells their order.
+
+        A number beyond the last row, or None, gives a row of nulls; one may be asked for twice.
+        """
+        own = sorted({k for k in numbers if k is not None})
+        if self._texts is None:
+            picked = self.df.limit(0).select(F.lit(0).alias("__number"), *self.df.columns)
+        else:
+            picked = at_numbers(self._texts, own).select(F.col("number").alias("__number"), *self._out)
+        asked = self.df.sparkSession.createDataFrame([(i + 1, k) for i, k in enumerate(numbers)], "__asked int, __number long")
+        return asked.join(picked, "__number", "left").select(F.col("__asked").alias(name), *[F.col(f"`{c}`") for c in self.df.columns])
+
+    def levels(self, name: str) -> DataFrame:
+        """``(level, code)`` of a factor: as specified, or by first appearance over all files by name.
+
+        With ``include_na`` a null is a level as well, where it appears first.
+        """
+        meta = next(f.metadata for f in self.df.schema.fields if f.name == name)
+        if meta.get("levels") is not None:
+            levels = [*meta["levels"], *([None] if meta["na_level"] else [])]
+            return self.df.sparkSession.createDataFrame([(v, k + 1) for k, v in enumerate(levels)], "level string, code int")
+        if self._texts is None:
+            return self.df.sparkSession.createDataFrame([], "level string, code int")
+        seen = self._texts.select(*_AT, self._out[self.df.columns.index(name)].alias("level"))
+        seen = seen if meta.get("na_level") else seen.where(F.col("level").isNotNull())
+        first = seen.groupBy("level").agg(F.min(F.struct(*_AT)).alias("first"))
+        return first.select("level", F.row_number().over(Window.orderBy("first")).alias("code"))
 
 
 def _path_column(paths: dict[str, str]) -> Column:
@@ -53,53 +111,36 @@ def _blank(value: Column) -> Column:
     return F.trim(F.translate(value, "\t\r\x00", "   ")) == ""
 
 
-def _drop_prefix(df: DataFrame, lines: dict[str, int]) -> DataFrame:
-    """Rows ``(value, path, block, at)`` without the first lines of each file."""
+def drop_prefix(df: DataFrame, d: tk.Dialect, skip: int, header: bool) -> DataFrame:
+    """Rows ``(value, path, block)`` without the lines before the data of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, 0
+        last = prefix = None
         for batch in batches:
             keep = []
-            for path, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for line, path, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if (path, block) != last:
-                    last, left = (path, block), lines.get(path, 0) if block == 0 else 0
-                keep.append(left <= 0)
-                left -= 1
-            yield batch.filter(pa.array(keep))
+                    last, prefix = (path, block), Prefix(d, skip, header)
+                keep.append(block > 0 or not prefix.before(line))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    """``df`` with ``ordinal``, the number of a record in its file from 1 on.
-
-    Rows of a split are numbered where they are, and the few counts of splits are summed up, so
-    that no file passes through one task.
-    """
-    placed = df.withColumn("__part", F.shiftright("at", 33)).withColumn("__in", F.col("at"))
-    sizes = placed.groupBy("path", "block", "__part").agg(F.count("*").alias("__n"), F.min("__in").alias("__first"))
-    from pyspark.sql.window import Window
-
-    before = Window.partitionBy("path").orderBy("block", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("path", "block", "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("path", "block", "__part").orderBy("__in")
-    numbered = placed.withColumn("__row", F.row_number().over(within)).join(starts, ["path", "block", "__part"])
-    return numbered.withColumn("ordinal", F.col("__start") + F.col("__row")).drop("__part", "__in", "__first", "__start", "__row")
-
-
-def _lines(spark: SparkSession, paths: dict[str, str], heads: dict[str, Head], header: dict[str, int], d: tk.Dialect) -> DataFrame:
-    """``(value, path, block, at)`` of every data line."""
-    drop = {p: heads[p].prefix + header[p] for p in paths}
+def _lines(spark: SparkSession, paths: dict[str, str], d: tk.Dialect, skip: int, header: bool, charset: str | None) -> DataFrame:
+    """``(value, path, block)`` of every data line."""
     meta = (_path_column(paths).alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    simple = set(drop.values())
-    if simple <= {1} and all(h.prefix == 0 for h in heads.values()) and d.skip_empty_rows and not d.comment:
-        scan = spark.read.option("header", True).option("sep", "\x01").option("quote", "").option("escape", "").option("mode", "PERMISSIVE")
-        df = scan.schema("value string").csv(list(paths)).select(F.coalesce("value", F.lit("")).alias("value"), *meta)
+    plain = skip <= 0 and not d.comment and d.skip_empty_rows
+    if header and plain and (charset is None or charset in LATIN):
+        # the csv source drops each file's first line; a line with its separator comes whole as a corrupt record
+        mark = "\x01" if d.delim != "\x01" else "\x02"
+        scan = spark.read.option("header", True).option("sep", mark).option("maxColumns", 200_000).option("quote", "").option("escape", "").option("mode", "PERMISSIVE")
+        scan = scan.option("columnNameOfCorruptRecord", "whole").option("encoding", "ISO-8859-1" if charset else "UTF-8")
+        df = scan.schema("value string, whole string").csv(list(paths)).select(F.coalesce("whole", "value", F.lit("")).alias("value"), *meta)
     else:
-        df = spark.read.text(list(paths)).select("value", *meta)
-    df = df.withColumn("at", F.monotonically_increasing_id())
-    if not (simple <= {0}) and not (simple <= {1} and all(h.prefix == 0 for h in heads.values()) and d.skip_empty_rows and not d.comment):
-        df = _drop_prefix(df, {paths[p]: n for p, n in drop.items()})
+        df = decoded(spark.read.text(list(paths)).select("value", *meta), charset)
+        if header or skip > 0:
+            df = drop_prefix(df, d, skip, header)
     if d.comment:
         df = df.where(~F.col("value").startswith(d.comment)).withColumn("value", tk.uncommented(F.col("value"), d))
     if d.skip_empty_rows:
@@ -107,24 +148,34 @@ def _lines(spark: SparkSession, paths: dict[str, str], heads: dict[str, Head], h
     return df
 
 
-def _whole(spark: SparkSession, paths: dict[str, str], heads: dict[str, Head], header: dict[str, int], d: tk.Dialect, skip_records: bool) -> DataFrame:
-    """``(value, path, block, at)`` of every data record of files that are read whole."""
-    text = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
-    df = spark.read.text(list(paths), wholetext=True).select(text.alias("text"), _path_column(paths).alias("path"))
-    prefix = {paths[p]: heads[p].prefix for p in paths}
-    if any(prefix.values()):
-        k = F.create_map(*[F.lit(x) for pair in prefix.items() for x in pair])[F.col("path")]
-        df = df.withColumn("text", F.array_join(F.slice(F.split("text", "\n", -1), k + 1, F.greatest(F.size(F.split("text", "\n", -1)) - k, F.lit(0))), "\n"))
-    found = tk.records(F.col("text"), d)
-    df = df.select("path", F.posexplode(found).alias("at", "value"))
+def _whole(spark: SparkSession, paths: dict[str, str], d: tk.Dialect, skip: int, header: bool, charset: str | None) -> DataFrame:
+    """``(value, path, block)`` of every data record of files that are read whole."""
+    df = spark.read.text(list(paths), wholetext=True).select("value", _path_column(paths).alias("path"), F.lit(0).cast("long").alias("block"))
+    df = decoded(df, charset)
+    df = df.withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", ""))
+    if skip > 0 or d.comment:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rest = []
+                for text in batch.column(0).to_pylist():
+                    at, prefix = 0, Prefix(d, skip, False)
+                    while at <= len(text):
+                        end = text.find("\n", at)
+                        end = len(text) if end < 0 else end
+                        if not prefix.before(text[at:end]):
+                            break
+                        at = end + 1
+                    rest.append(text[at:] if at <= len(text) else None)
+                yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), *batch.columns[1:]], names=batch.schema.names)
+
+        df = df.mapInArrow(run, df.schema)
+    found = tk.records(F.col("value"), d)
     if d.skip_empty_rows or d.comment:
-        df = df.where(~_blank(F.col("value")))
-    if skip_records and any(header.values()):
-        from pyspark.sql.window import Window
-
-        first = Window.partitionBy("path").orderBy("at")
-        df = df.withColumn("__n", F.row_number().over(first)).where("__n > 1").drop("__n")
-    return df.select("value", "path", F.lit(0).cast("long").alias("block"), F.col("at").cast("long").alias("at"))
+        found = F.filter(found, lambda x: ~_blank(x))
+    if header:
+        found = let(found, lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))))
+    return df.select(F.explode(found).alias("value"), "path", "block")
 
 
 def read_delim(
@@ -146,15 +197,12 @@ def read_delim(
     if delim == "":
         raise ValueError("delim must not be empty")
     delim = "\x01" if delim == "\n" else delim
-    sources = file if isinstance(file, (list, tuple)) else [file]
     if n_max < 0:
         n_max = math.inf
-    paths: dict[str, str] = {}
-    for source in sources:
-        path, shown = stage(spark, source, loc.encoding)
-        paths[path] = shown
+    inputs, charset = resolve(spark, file, loc.encoding)
+    paths = {x.path: x.shown for x in inputs}
     d = tk.Dialect(delim or ",", quote, comment, trim_ws, escape_double, escape_backslash, skip_empty_rows)
-    heads = {p: read_head(spark, p, d, skip) for p in paths}
+    heads = {x.path: read_head(spark, x.first, d, skip, charset) for x in inputs}
     if delim is None:
         filled = next((h for h in heads.values() if h.lines), None)
         d = replace(d, delim=guess_delim(filled.lines, quote) if filled else ",")
@@ -203,36 +251,44 @@ def read_delim(
         empty = empty.withColumn(id, F.lit(None).cast("string")) if id else empty
         done = {n: c for n, c in zip(names, collectors) if c.kind != "skip"}
         return RectFrame(empty.select(*[F.col(f"`{old}`").alias(new) for old, new in chosen if old in empty.columns]), sp.ColSpec(done, spec.default, d.delim))
-    live = {p: shown for p, shown in paths.items() if widths[p]}
-    if multiline is None:
-        multiline = bool(quote) and any(header[p] > 1 for p in live) or (bool(quote) and _has_open(spark, live, d))
-    if multiline:
-        rows = _whole(spark, live, heads, {p: header[p] for p in live}, d, True)
-    else:
-        rows = _lines(spark, live, heads, {p: header[p] for p in live}, d)
-    if n_max < math.inf:
-        rows = _ordered(rows).where(F.col("ordinal") <= int(n_max)).drop("ordinal")
-    fields = rows.select("path", "block", "at", tk.tokens(F.col("value"), d, to_end=multiline).alias("raw"))
-    # the explode keeps Catalyst from splitting a record once for each column that uses it
-    fields = fields.select("path", "block", "at", F.explode(F.array(F.struct(F.col("raw")))).alias("t")).select("path", "block", "at", F.col("t.raw").alias("raw"))
-    fields = fields.withColumn("tok", tk.widened(F.col("raw"), d, width))
-
-    def value(k: int) -> Column:
-        """Text of a field, null if missing."""
-        x = tk.content(F.get("tok", F.lit(k)), d)
-        return F.when(~x.isin(*na), x) if na else x
-
+    live = {x.path: x.shown for x in inputs if widths[x.path]}
+    if not fixed:
+        _check_headers(spark, inputs, d, skip, charset, width, raw_names[filled[0]] if col_names is True else None)
     guessing = [k for k, c in enumerate(collectors) if c.kind == "guess"]
+    most = guess_max if guessing else 0
+    if multiline is None and any(header[p] > 1 for p in live):
+        multiline = True
+    how = (spark, live, d, skip, col_names is True, charset)
+    rows = placed((_whole if multiline else _lines)(*how))
+    found, told = splits(rows), None
+    if multiline is None and quote:
+        # one pass over the lines tells whether quotes hold line feeds, and where the rows to guess from are
+        found = splits(rows, open=F.max(tk.is_open(F.col("value"), d)))
+        told = survey(found, most)
+        multiline = bool(told["open"])
+        if multiline:
+            rows = placed(_whole(*how))
+            found, told = splits(rows), None
+    if n_max < math.inf:
+        rows = first_rows(rows, int(n_max))
+        found, told = splits(rows), None
+    fields = rows.select(*_AT, F.explode(F.array(F.struct(tk.tokens(F.col("value"), d, to_end=bool(multiline)).alias("raw"), tk.special(F.col("value"), d).alias("marked")))).alias("t"))
+    # the explode keeps Catalyst from splitting a record once for each column that uses it; every
+    # further step binds what the next one uses more than once
+    fields = fields.select(*_AT, "t.marked", F.size("t.raw").alias("size"), tk.widened(F.col("t.raw"), d, width).alias("tok"))
+    used = [k for k, c in enumerate(collectors) if c.kind != "skip"]
+    texts = fields.select(*_AT, "size", *[tk.content(F.get("tok", F.lit(k)), d, F.col("marked")).alias(f"c{k}") for k in used])
+    if na:
+        texts = texts.select(*_AT, "size", *[F.when(~F.col(f"c{k}").isin(*na), F.col(f"c{k}")).alias(f"c{k}") for k in used])
     if guessing:
-        texts = _ordered(fields).select("path", "ordinal", *[value(k).alias(f"c{k}") for k in guessing])
-        kinds = guess_types(sample_rows(texts, guess_max), [f"c{k}" for k in guessing], loc, guess_integer)
+        picked = pick(texts, found, told or survey(found, most), most)
+        kinds = guess_types(picked, [f"c{k}" for k in guessing], loc, guess_integer)
         for k, kind in zip(guessing, kinds):
             collectors[k] = sp.Collector(kind)
     parsed = {}
-    for k, c in enumerate(collectors):
-        if c.kind != "skip":
-            x = value(k)
-            parsed[names[k]] = parse_column(x, c.kind, loc, c.format, c.levels)
+    for k in used:
+        c = collectors[k]
+        parsed[names[k]] = parse_column(F.col(f"c{k}"), c.kind, loc, c.format, c.levels)
     if id:
         parsed[id] = F.col("path")
     out = []
@@ -241,33 +297,49 @@ def read_delim(
             continue
         c = collectors[names.index(old)] if old in names else None
         if c is not None and c.kind == "factor":
-            out.append(parsed[old].alias(new, metadata={"levels": list(c.levels) if c.levels else None, "ordered": c.ordered}))
+            levels = [v for v in c.levels if v is not None] if c.levels else None
+            out.append(parsed[old].alias(new, metadata={"levels": levels, "na_level": bool(c.levels and None in c.levels) or c.include_na, "ordered": c.ordered}))
         else:
             out.append(parsed[old].alias(new))
-    df = fields.select(*out)
+    df = texts.select(*out)
     done = {n: c for n, c in zip(names, collectors) if c.kind != "skip"}
-    problems = _problems(fields, value, names, collectors, loc, width, d, any(header.values()))
-    return RectFrame(df, sp.ColSpec(done, spec.default, d.delim), problems)
-
-
-def _has_open(spark: SparkSession, paths: dict[str, str], d: tk.Dialect) -> bool:
-    lines = spark.read.text(list(paths)).where(F.col("value").contains(d.quote))
-    if d.comment:
-        lines = lines.where(~F.col("value").startswith(d.comment)).withColumn("value", tk.uncommented(F.col("value"), d))
-    return not lines.where(tk.is_open(F.col("value"), d)).isEmpty()
-
-
-def _problems(fields: DataFrame, value, names: list[str], collectors, loc: Locale, width: int, d: tk.Dialect, has_header: bool) -> DataFrame:
-    rows = _ordered(fields)
-    row = F.col("ordinal") + int(has_header)
-    size = F.size("raw")
+    problems = partial(_problems, texts, collectors, loc, width, any(header.values()))
+    return RectFrame(df, sp.ColSpec(done, spec.default, d.delim), problems, texts, out)
+
+
+def _check_headers(spark: SparkSession, inputs: list[Input], d: tk.Dialect, skip: int, charset: str | None, width: int, names: list[str] | None) -> None:
+    """All files of folders have as many columns as the first one, and the same names, by their first records."""
+    files = [f for x in inputs if len(x.files) > 1 for f in x.files]
+
+    def fields(file: str) -> list[str] | None:
+        n = 1 << 14
+        while True:
+            raw = first_bytes(spark, file, n, plain=True)
+            lines, prefix = raw.decode(charset or "utf-8-sig", "replace").splitlines(), Prefix(d, skip, False)
+            lines = lines[: len(lines) - (len(raw) == n)]  # the last one may go on
+            own = [line for line in lines if not prefix.before(line)]
+            record, _ = first_record(own, d)
+            if len(raw) < n or (own and closed(record, d)):
+                return [tk.content_py(x, d) for x in tk.split_py(record, d)] if own else None
+            n *= 8
+
+    with ThreadPoolExecutor(16) as pool:
+        for file, found in zip(files, pool.map(fields, files)):
+            if found is not None and len(found) != width:
+                raise ValueError(f"files must all have {width} columns: '{file}' has {len(found)}")
+            if found is not None and names is not None and found != names:
+                raise ValueError(f"files must have the same column names: '{file}' differs")
+
+
+def _problems(texts: DataFrame, collectors, loc: Locale, width: int, has_header: bool) -> DataFrame:
+    size = F.col("size")
     found = [
         F.when(size != width, F.struct(size.cast("int").alias("col"), F.lit(f"{width} columns").alias("expected"), F.concat(size.cast("string"), F.lit(" columns")).alias("actual")))
     ]
     for k, c in enumerate(collectors):
         if c.kind in ("skip", "guess"):
             continue
-        x = value(k)
+        x = F.col(f"c{k}")
         if c.kind == "character":
             bad = x.contains("\x00")
             told = (F.lit(""), F.lit("embedded null"))
@@ -275,5 +347,6 @@ def _problems(fields: DataFrame, value, names: list[str], collectors, loc: Local
             bad = x.isNotNull() & parse_column(x, c.kind, loc, c.format, c.levels).isNull()
             told = (F.lit(expected(c.kind, c.format)), x)
         found.append(F.when(bad, F.struct(F.lit(k + 1).alias("col"), told[0].alias("expected"), told[1].alias("actual"))))
-    listed = rows.select(row.alias("row"), "path", F.explode(F.filter(F.array(*found), lambda p: p.isNotNull())).alias("p"))
-    return listed.select("row", "p.col", "p.expected", "p.actual", F.col("path").alias("file"))
+    told = texts.select(*_AT, F.explode(F.filter(F.array(*found), lambda p: p.isNotNull())).alias("p"))
+    listed = numbered(told, texts.select(*_AT))
+    return listed.select((F.col("ordinal") + int(has_header)).alias("row"), "p.col", "p.expected", "p.actual", F.col("path").alias("file"))

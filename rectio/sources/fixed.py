@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from rectio.functions.locale import Locale, default_locale
 from rectio.functions.parsers import expected, parse_column
 from rectio.functions.tokens import Dialect
-from rectio.operators.guess import guess_types, sample_rows
+from rectio.operators.guess import guess_types
 from rectio.plans import select as sel
 from rectio.plans import spec as sp
-from rectio.sources.delimited import RectFrame, _drop_prefix, _ordered, _path_column
-from rectio.sources.sniff import head_lines, is_blank, read_head
-from rectio.sources.staging import stage
+from rectio.sources.delimited import _AT, RectFrame, _path_column, drop_prefix
+from rectio.sources.rows import first_rows, numbered, pick, placed, splits, survey
+from rectio.sources.sniff import decoded, head_lines, is_blank
+from rectio.sources.staging import resolve
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,8 @@ def fwf_cols(**columns: int | tuple[int, int]) -> Layout:
 
 def fwf_empty(spark: SparkSession, file, skip: int = 0, col_names: Sequence[str] | None = None, comment: str = "", n: int = 100) -> Layout:
     """A column ends where the first n + 1 lines are all blank; the last one is open."""
-    path, _ = stage(spark, file)
-    lines = [x for x in head_lines(spark, path, skip + n + 1)[skip:] if not (comment and x.startswith(comment))]
+    inputs, charset = resolve(spark, file)
+    lines = [x for x in head_lines(spark, inputs[0].first, skip + n + 1, charset)[skip:] if not (comment and x.startswith(comment))]
     data = [x.encode() for x in lines]
     width = max(map(len, data), default=0)
     blank = [all(k >= len(x) or x[k : k + 1] in b" \r" for x in data) for k in range(width)]
@@ -88,15 +89,16 @@ def read_fwf(
     loc = locale or default_locale()
     sources = file if isinstance(file, (list, tuple)) else [file]
     layout = col_positions or fwf_empty(spark, sources[0], skip, comment=comment)
-    paths = dict(stage(spark, s, loc.encoding) for s in sources)
+    inputs, charset = resolve(spark, sources, loc.encoding)
+    paths = {x.path: x.shown for x in inputs}
     d = Dialect(quote="", comment=comment, trim_ws=trim_ws, skip_empty_rows=skip_empty_rows)
-    heads = {p: read_head(spark, p, d, skip) for p in paths}
     df = spark.read.text(list(paths)).select("value", _path_column(paths).alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    df = df.withColumn("at", F.monotonically_increasing_id())
-    if any(h.prefix for h in heads.values()):
-        df = _drop_prefix(df, {paths[p]: h.prefix for p, h in heads.items()})
+    df = decoded(df, charset)
+    if skip > 0 or comment or _blank_first(spark, inputs, charset, skip_empty_rows):
+        df = drop_prefix(df, d, skip, False)
+    df = placed(df)
     if 0 <= n_max < math.inf:
-        df = _ordered(df).where(F.col("ordinal") <= int(n_max)).drop("ordinal")
+        df = first_rows(df, int(n_max))
     names = sp.repair_names(list(layout.names), name_repair)
     collectors = sp.standardise(sp.as_col_spec(col_types), names)
     columns = names + ([id] if id else [])
@@ -107,33 +109,50 @@ def read_fwf(
     wanted = {old for old, _ in chosen}
     collectors = [c if n in wanted else sp.col_skip() for n, c in zip(names, collectors)]
 
-    def value(k: int) -> Column:
-        data = F.encode("value", "UTF-8")
+    def cut(k: int) -> Column:
+        data = F.col("value").cast("binary")
         b, e = layout.begin[k], layout.end[k]
-        cut = F.substring(data, F.lit(b + 1), F.lit(1 << 30) if e is None else F.lit(e - b))
-        x = F.decode(cut, "UTF-8")
-        x = F.btrim(x, F.lit(" \t\r\x00")) if trim_ws else x
-        return F.when(~x.isin(*na), x) if na else x
+        x = F.decode(F.substring(data, F.lit(b + 1), F.lit(1 << 30) if e is None else F.lit(e - b)), "UTF-8")
+        return F.btrim(x, F.lit(" \t\r\x00")) if trim_ws else x
+
+    used = [k for k, c in enumerate(collectors) if c.kind != "skip"]
+    texts = df.select(*_AT, *[cut(k).alias(f"c{k}") for k in used])
+    if na:
+        texts = texts.select(*_AT, *[F.when(~F.col(f"c{k}").isin(*na), F.col(f"c{k}")).alias(f"c{k}") for k in used])
 
     guessing = [k for k, c in enumerate(collectors) if c.kind == "guess"]
     if guessing:
-        texts = _ordered(df).select("path", "ordinal", *[value(k).alias(f"c{k}") for k in guessing])
-        for k, kind in zip(guessing, guess_types(sample_rows(texts, guess_max), [f"c{k}" for k in guessing], loc)):
+        found = splits(df)
+        for k, kind in zip(guessing, guess_types(pick(texts, found, survey(found, guess_max), guess_max), [f"c{k}" for k in guessing], loc)):
             collectors[k] = sp.Collector(kind)
-    parsed = {names[k]: parse_column(value(k), c.kind, loc, c.format, c.levels) for k, c in enumerate(collectors) if c.kind != "skip"}
+    parsed = {names[k]: parse_column(F.col(f"c{k}"), collectors[k].kind, loc, collectors[k].format, collectors[k].levels) for k in used}
     if id:
         parsed[id] = F.col("path")
-    found = []
-    for k, c in enumerate(collectors):
-        if c.kind not in ("skip", "character"):
-            bad = value(k).isNotNull() & parse_column(value(k), c.kind, loc, c.format, c.levels).isNull()
-            found.append(F.when(bad, F.struct(F.lit(k + 1).alias("col"), F.lit(expected(c.kind, c.format)).alias("expected"), value(k).alias("actual"))))
-    problems = None
-    if found:
-        listed = _ordered(df).select("ordinal", "path", F.explode(F.filter(F.array(*found), lambda p: p.isNotNull())).alias("p"))
-        problems = listed.select(F.col("ordinal").alias("row"), "p.col", "p.expected", "p.actual", F.col("path").alias("file"))
-    out = df.select(*[parsed[old].alias(new) for old, new in chosen if old in parsed])
-    return RectFrame(out, sp.ColSpec({n: c for n, c in zip(names, collectors) if c.kind != "skip"}), problems)
+
+    def problems() -> DataFrame:
+        found = []
+        for k in used:
+            c, x = collectors[k], F.col(f"c{k}")
+            if c.kind == "character":
+                bad, told, actual = x.contains("\x00"), "", F.lit("embedded null")
+            else:
+                bad, told, actual = x.isNotNull() & parse_column(x, c.kind, loc, c.format, c.levels).isNull(), expected(c.kind, c.format), x
+            found.append(F.when(bad, F.struct(F.lit(k + 1).alias("col"), F.lit(told).alias("expected"), actual.alias("actual"))))
+        listed = texts.select(*_AT, F.explode(F.filter(F.array(*found), lambda p: p.isNotNull())).alias("p"))
+        return numbered(listed, df.select(*_AT)).select(F.col("ordinal").alias("row"), "p.col", "p.expected", "p.actual", F.col("path").alias("file"))
+
+    out = [parsed[old].alias(new) for old, new in chosen if old in parsed]
+    spec = sp.ColSpec({n: c for n, c in zip(names, collectors) if c.kind != "skip"})
+    return RectFrame(texts.select(*out), spec, problems if used else None, texts, out)
+
+
+def _blank_first(spark: SparkSession, inputs, charset: str | None, skip_empty_rows: bool) -> bool:
+    """Whether blank lines may come before the first record: by the first line of a single file, in general for several."""
+    if not skip_empty_rows:
+        return False
+    if sum(len(x.files) for x in inputs) > 1:
+        return True
+    return any(is_blank(line) for x in inputs for line in head_lines(spark, x.first, 1, charset))
 
 
 def read_lines(
@@ -141,22 +160,15 @@ def read_lines(
 ) -> DataFrame:
     """One column ``V1`` with the lines of all files."""
     loc = locale or default_locale()
-    sources = file if isinstance(file, (list, tuple)) else [file]
-    paths = dict(stage(spark, s, loc.encoding) for s in sources)
+    inputs, charset = resolve(spark, file, loc.encoding)
+    paths = {x.path: x.shown for x in inputs}
     df = spark.read.text(list(paths)).select("value", _path_column(paths).alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    df = df.withColumn("at", F.monotonically_increasing_id())
-    if skip:
-        drop = {}
-        for p, shown in paths.items():
-            lines = head_lines(spark, p, skip + 1000)
-            k = skip
-            while skip_empty_rows and k < len(lines) and is_blank(lines[k]):
-                k += 1
-            drop[shown] = k
-        df = _drop_prefix(df, drop)
+    df = decoded(df, charset)
+    if skip > 0:
+        df = drop_prefix(df, Dialect(quote="", skip_empty_rows=skip_empty_rows), skip, False)
     if skip_empty_rows:
         df = df.where(F.trim(F.translate("value", "\t\r\x00", "   ")) != "")
     if 0 <= n_max < math.inf:
-        df = _ordered(df).where(F.col("ordinal") <= int(n_max))
+        df = first_rows(placed(df), int(n_max))
     x = F.col("value")
     return df.select((F.when(~x.isin(*na), x) if na else x).alias("V1"))

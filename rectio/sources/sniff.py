@@ -1,16 +1,23 @@
-"""What the driver learns from the first lines of a file: prefix, delimiter, width and header."""
+"""What the first lines of a file tell: prefix, delimiter, width and header."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rectio.functions.tokens import Dialect
 
+#: Lines that the driver reads first; it reads on while they hold no record.
 HEAD_LINES = 1000
+# Names of the charset that the JVM decodes.
+LATIN = ("ISO8859-1", "ISO-8859-1", "LATIN-1")
+# Delimiters that a guess may settle on.
 DELIMITERS = [",", "\t", " ", "|", ":", ";"]
 
 
@@ -22,29 +29,92 @@ class Head:
     lines: list[str]
 
 
-def head_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    return [r[0] for r in spark.read.text(path).take(n)]
-
-
 def is_blank(line: str) -> bool:
     return line.strip(" \t\r\x00") == ""
 
 
-def read_head(spark: SparkSession, path: str, d: Dialect, skip: int) -> Head:
+def decoded(rows: DataFrame, charset: str | None) -> DataFrame:
+    """``rows(value, ...)`` whose values Spark took for UTF-8, read as the charset that they are in."""
+    if charset is None:
+        return rows
+    raw = rows.withColumn("value", F.col("value").cast("binary"))
+    if charset in LATIN:
+        return raw.withColumn("value", F.decode("value", "ISO-8859-1"))
+    at = rows.columns.index("value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([None if x is None else x.decode(charset, "replace") for x in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=rows.columns)
+
+    return raw.mapInArrow(run, rows.schema)
+
+
+def head_lines(spark: SparkSession, path: str, n: int, charset: str | None = None) -> list[str]:
+    """The first ``n`` lines of a file, decoded on the driver."""
+    rows = spark.read.text(path).select(F.col("value").cast("binary")).take(n)
+    return [bytes(r[0]).decode(charset or "utf-8", "replace") for r in rows]
+
+
+@dataclass
+class Prefix:
+    """Tells the lines before a file's data: skipped ones, blanks and comments before the first record, and a header.
+
+    A skipped line counts whatever it holds, and a quoted line feed in it takes its next lines along.
+    """
+
+    d: Dialect
+    skip: int
+    header: bool
+    inside: bool = False
+    done: bool = False
+    names: list[str] = field(default_factory=list)
+
+    def before(self, line: str) -> bool:
+        """Whether the next line of the file comes before the data."""
+        if self.done:
+            return False
+        if self.inside:
+            self.inside = line.count(self.d.quote) % 2 == 0
+            return True
+        if self.names:
+            self.names.append(line)
+            self._close()
+            return True
+        idle = (self.d.skip_empty_rows and is_blank(line)) or (bool(self.d.comment) and line.startswith(self.d.comment))
+        if idle or self.skip > 0:
+            self.inside = bool(self.d.quote) and not idle and line.count(self.d.quote) % 2 == 1
+            self.skip -= 1
+            return True
+        if self.header:
+            self.names = [line]
+            self._close()
+            return True
+        self.done = True
+        return False
+
+    def _close(self) -> None:
+        if closed("\n".join(self.names), self.d):
+            self.header, self.names = False, []
+            self.done = True
+
+
+def closed(record: str, d: Dialect) -> bool:
+    """Whether a record ends here, as far as its quotes tell."""
+    if not d.quote or record.count(d.quote) % 2 == 0:
+        return True
+    return not re.search(rf"(^|{re.escape(d.delim)}){re.escape(d.quote)}", record)
+
+
+def read_head(spark: SparkSession, path: str, d: Dialect, skip: int, charset: str | None = None) -> Head:
     """Lines to skip count blank and comment lines too; more of these go before the first record."""
-    lines = head_lines(spark, path, HEAD_LINES + skip)
-    k, left = 0, skip
-    while k < len(lines):
-        idle = (d.skip_empty_rows and is_blank(lines[k])) or (bool(d.comment) and lines[k].startswith(d.comment))
-        if not idle and left <= 0:
-            break
-        # a quoted line feed in a skipped record takes its next lines along
-        open_ = bool(d.quote) and not idle and lines[k].count(d.quote) % 2 == 1
-        k, left = k + 1, left - 1
-        while open_ and k < len(lines):
-            open_ = lines[k].count(d.quote) % 2 == 0
-            k += 1
-    return Head(k, lines[k:])
+    n = HEAD_LINES + skip
+    while True:
+        lines, prefix = head_lines(spark, path, n, charset), Prefix(d, skip, False)
+        k = next((k for k, line in enumerate(lines) if not prefix.before(line)), len(lines))
+        if k < len(lines) or len(lines) < n:
+            return Head(k, lines[k:])
+        n *= 8
 
 
 def first_record(lines: list[str], d: Dialect) -> tuple[str, int]:
@@ -52,9 +122,7 @@ def first_record(lines: list[str], d: Dialect) -> tuple[str, int]:
     record = ""
     for k, line in enumerate(lines):
         record = line if k == 0 else f"{record}\n{line}"
-        if not d.quote or sum(f.count(d.quote) for f in [record]) % 2 == 0 or d.quote not in record:
-            return record, k + 1
-        if not re.search(rf"(^|{re.escape(d.delim)}){re.escape(d.quote)}", record):
+        if closed(record, d):
             return record, k + 1
     return (lines[0], 1) if lines else ("", 0)
 
