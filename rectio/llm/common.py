@@ -44,12 +44,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_new(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns last; those that it has under their names give way."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in columns}]
+    return df.select(*kept, *[v.alias(k) for k, v in columns.items()])
+
+
+#: Keys that may hold more than one in so many rows each; there are no more than that of them.
+HOT_SHARE = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined to ``classes``, one row for each ``key`` with the number ``n`` of rows that have it.
+
+    Classes that hold over one in ``HOT_SHARE`` of all rows are broadcast, at most that many by this
+    definition, so no task gathers the rows of one; all others meet theirs in a shuffle.
+    """
+    total = classes.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col(n) * HOT_SHARE > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(classes.where(F.col(n) * HOT_SHARE <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every vertex that has an edge.
 
     ``edges`` has two long columns ``a`` and ``b``. Large-star and small-star rounds
     alternate until the edge set is a forest of stars (Kiveris et al., 2014), each of them an
-    aggregation and an equality join; no vertex gathers its neighbours into one row. Returns
+    aggregation and an equality join; no vertex gathers its neighbours into one row, and the
+    neighbours of a hub are split over tasks by adaptive execution's skew join. Returns
     ``(id, component)``, without a row for the ids that no edge names. Self-loops and nulls
     link nothing; repeated and reversed edges count once.
     """
