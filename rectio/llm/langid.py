@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
 SIZES = (1, 2, 3)
-#: Sample of a fit: documents of each language, languages, and the longest text among them.
-SAMPLE_DOCS, SAMPLE_LANGS, SAMPLE_CHARS = 1500, 256, 20_000
+#: Labelled documents of each language that a fit takes at most.
+SAMPLE_DOCS = 1500
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 3
 SCALE = 30.0
 _CHUNK = 1 << 20
@@ -52,6 +54,18 @@ def buckets_of(codes: np.ndarray, size: int) -> np.ndarray:
     return hashed >> np.uint32(32 - BUCKET_BITS)
 
 
+def gram_counts(text: str | None) -> np.ndarray | None:
+    """How often each bucket occurs among the n-grams of a whole text, or None without a letter; long texts are read in chunks."""
+    codes = codes_of(text)
+    if not (codes != 32).any():
+        return None
+    total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for size in SIZES:
+        for low in range(0, len(codes), _CHUNK):
+            total += np.bincount(buckets_of(codes[low : low + _CHUNK + size - 1], size), minlength=len(total))
+    return total
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -60,18 +74,12 @@ class LanguageModel:
     temperature: float = 1.0
 
     def logits(self, text: str | None) -> np.ndarray | None:
-        """Logits of the languages, or None without a letter; long texts are read in chunks."""
-        codes = codes_of(text)
-        if not (codes != 32).any():
+        """Logits of the languages, or None without a letter."""
+        counts = gram_counts(text)
+        if counts is None:
             return None
-        total, grams = np.zeros(len(self.langs)), 0
-        for size in SIZES:
-            for low in range(0, len(codes), _CHUNK):
-                own = buckets_of(codes[low : low + _CHUNK + size - 1], size)
-                grams += len(own)
-                counts = np.bincount(own, minlength=0)
-                total += counts @ self.weights[: len(counts)]
-        return total * (SCALE / max(1, grams)) + self.bias
+        own = np.flatnonzero(counts)
+        return counts[own] @ self.weights[own] * (SCALE / counts.sum()) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
@@ -88,21 +96,28 @@ class LanguageModel:
         return names, scores
 
 
-def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    codes = codes_of(text)
-    own, counts = np.unique(np.concatenate([buckets_of(codes, n) for n in SIZES]), return_counts=True)
-    return own.astype(np.int64), counts * (SCALE / counts.sum())
+Features = tuple[np.ndarray, np.ndarray]
+
 
+def features(text: str | None) -> Features | None:
+    """Buckets of a text and their shares of its n-grams."""
+    counts = gram_counts(text)
+    if counts is None:
+        return None
+    own = np.flatnonzero(counts)
+    return own, counts[own] * (SCALE / counts.sum())
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
-    """Follow-the-regularised-leader on the texts, with a fifth of them kept for the temperature."""
-    usable = [(t, g) for t, g in zip(texts, langs) if t and any(c.isalpha() for c in t)]
+
+def train(texts: list[Features | None], langs: list[str], seed: int = 7) -> LanguageModel:
+    """Follow-the-regularised-leader on :func:`features` of texts, with a fifth of them kept for the temperature."""
+    usable = [(t, g) for t, g in zip(texts, langs) if t is not None]
     names = sorted({g for _, g in usable})
     count = 1 << BUCKET_BITS
     if len(names) < 2:
         return LanguageModel(names, np.zeros((count, len(names))), np.zeros(len(names)))
     rng = np.random.default_rng(seed)
-    rows = [(*_features(t), names.index(g)) for t, g in usable]
+    place = {g: k for k, g in enumerate(names)}
+    rows = [(*t, place[g]) for t, g in usable]
     held = rng.random(len(rows)) < 0.2
     if len({y for (_, _, y), h in zip(rows, held) if not h}) < len(names):
         held[:] = False
@@ -146,43 +161,53 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
 
 
 def fit(docs: DataFrame, learn: Column | None = None) -> LanguageModel:
-    """Train on ``text`` and ``lang`` of a bounded sample: the first of each language by a hash of the id.
+    """Train on ``text`` and ``lang`` of a bounded sample: ``SAMPLE_DOCS`` rows of each language, the first by a hash of the id.
 
-    The most frequent languages are learnt, up to ``SAMPLE_LANGS``. Null languages and texts without
-    a letter teach nothing; without a language every text is ``und``.
+    Whole texts of any length teach, and all languages are learnt. Null languages and ids and texts
+    without a letter teach nothing; without a language every text is ``und``. One pass ranks the
+    ids, which leave each task at most ``SAMPLE_DOCS`` a language; n-grams are counted where the
+    texts are.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn))
-    known = known.where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()
-    texts: list[str] = []
-    langs: list[str] = []
-    for row in counts:
-        own = known.where(F.col("lang") == row["lang"])
-        ids = F.broadcast(own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct())
-        for text in sorted(r["text"] or "" for r in own.join(ids, "doc_id", "left_semi").select("text").collect()):
-            texts.append(text)
-            langs.append(row["lang"])
+    # a text has a letter if it has one that the model's table tells, and only such rows count
+    known = known.where(F.col("text").rlike(r"\p{L}"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)
+    picked = known.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (found := features(text)) is not None:
+                    own = pa.array([found[0].astype("<u2").tobytes()], pa.binary()), pa.array([found[1].astype("<f4").tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([doc_id], pa.int64()), *own], names=["lang", "doc_id", "at", "share"])
+
+    # no more rows than the sample has, but for repeated ids
+    counted = picked.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, at binary, share binary")
+    rows = sorted(((r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["share"])) for r in counted.distinct().collect()))
+    texts, langs = [], []
+    for lang, _, own, share in rows:
+        texts.append((np.frombuffer(own, "<u2").astype(np.int64), np.frombuffer(share, "<f4").astype(np.float64)))
+        langs.append(lang)
     return train(texts, langs)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its probability.
 
-    A text that is null or has no letter is ``und`` with the score 0. Rows and their other columns
-    stay as they are; the two names must be new.
+    A text that is null or has no letter is ``und`` with the score 0; texts of any length are read
+    whole. Rows, repeated ones included, and their other columns stay as they are, but columns
+    with the two new names give way.
     """
-    from pyspark.sql import types as T
-
-    if {lang_out, score_out} & set(docs.columns):
-        raise ValueError("the new columns exist already")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(at).to_pylist())
+            names, scores = shared.value.predict(batch.column(at).cast(pa.string()).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
