@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 16
@@ -26,8 +27,10 @@ WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
 GRAM_SIZES = (3, 4, 5, 6)
 #: Words of more bytes fall into parts of so many, each so far after the last; what two parts share holds every n-gram.
 LONG_BYTES, PART_BYTES, PART_STRIDE = 64, 24, 18
-#: Labelled documents of each class that a fit takes at most, and the longest text among them.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_CHARS = 1500, 3000, 20_000
+#: Labelled documents of each class that a fit takes at most.
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 3000
+#: Words of one text that a fit holds; of a longer one it takes so many in passages spread evenly over all of it.
+SAMPLE_WORDS, PASSAGE = 16_384, 64
 THRESHOLD = 0.3
 _CACHE_WORDS = 200_000
 _BLOCK_WINDOWS = 8192
@@ -379,9 +382,20 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(slope), float(shift)
 
 
+def spread(text: str | None) -> str | None:
+    """A labelled text, or evenly spread passages of one with over ``SAMPLE_WORDS`` words."""
+    count = len(words_of(text))
+    if count <= SAMPLE_WORDS:
+        return text
+    passages = SAMPLE_WORDS // PASSAGE
+    size = len(text) * PASSAGE // count + 1
+    return " ".join(text[at : at + size] for at in np.linspace(0, len(text) - size, passages).astype(int).tolist())
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column) -> tuple[list[str | None], list[int], float | None]:
-    """A bounded, repeatable sample of labelled documents: the first of each class by a hash of the id.
+    """A bounded, repeatable sample of labelled documents: the first of each class by a hash of the id, whatever their length.
 
+    A document labelled both 0 and 1 counts as 1; of several texts with one id the least is taken.
     The last value is the share of positives among all labels that may be learnt from.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
@@ -389,8 +403,15 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     picked = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_POSITIVE)
     picked = picked.unionByName(known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_NEGATIVE))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
-    first = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    rows = rows.join(F.broadcast(picked), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([spread(x) for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts], names=["doc_id", "y", "text"])
+
+    short = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, text string")
+    first = short.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [r["text"] for r in first], [r["y"] for r in first], known.agg(F.avg("y")).first()[0]
 
 
@@ -405,14 +426,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: Col
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a double column ``out``; null texts and texts without words get one low score.
+    """``docs`` with a double column ``out``; null, empty and word-less texts get one low score.
 
-    Rows and their other columns stay as they are. ``out`` must be a new name.
+    Texts of any length are scored whole. Rows, repeated ones included, and their other columns
+    stay as they are, but a column named ``out`` gives way.
     """
-    from pyspark.sql import types as T
-
-    if out in docs.columns:
-        raise ValueError(f"{out} is a column already")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()])
     network.index, network.rows = {}, []
     shared = docs.sparkSession.sparkContext.broadcast(network)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
