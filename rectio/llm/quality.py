@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rectio.llm.common import unused, with_new
+
 THRESHOLD = 0.3
 #: Labelled documents of each class that a fit takes at most.
 SAMPLE = 8000
@@ -170,8 +172,8 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], rate: float | None = N
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn: Column | None = None) -> RuleEnsemble:
     """Train on the statistics of a bounded sample of labelled documents, the first by a hash of the id.
 
-    Labels other than 0 and 1 and ids without a document teach nothing; without both classes every
-    score is alike.
+    Labels other than 0 and 1 and ids without a document teach nothing, a document labelled both ways
+    counts as 1; without both classes every score is alike.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & (F.lit(True) if learn is None else learn)).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -186,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn: C
 def score(docs: DataFrame, ensemble: RuleEnsemble, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a double column ``out``; null and empty texts get the score of empty statistics.
 
-    Rows and their other columns stay as they are. ``out`` must be a new name.
+    Whole texts of any length count. Rows, repeated ones included, and their other columns stay as
+    they are, but a column named ``out`` gives way.
     """
-    if out in docs.columns:
-        raise ValueError(f"{out} is a column already")
     stats = F.struct(*[v.alias(k) for k, v in statistics(F.col(text_col)).items()])
-    return docs.withColumn("__stats", stats).withColumn(out, ensemble.column("__stats")).drop("__stats")
+    [name] = unused(docs, "stats")
+    return with_new(docs.withColumn(name, stats), **{out: ensemble.column(name)}).drop(name)
