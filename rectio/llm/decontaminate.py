@@ -15,16 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rectio.llm.common import cut
+from rectio.llm.common import cut, unused
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
-#: UTF-8 bytes of item text that are broadcast at once.
+#: UTF-8 bytes of item text that are indexed together, and blocks that are broadcast for one pass over the documents.
 BLOCK_BYTES = 8_000_000
+PASS_BLOCKS = 4
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -198,11 +200,12 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, window: int) -> list
     rows, size = [], 0
     picked = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string"))
     for key, text in picked.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).toLocalIterator():
-        if rows and size + len(text) > BLOCK_BYTES:
+        own = len(text.encode("utf-8", "surrogatepass"))
+        if rows and size + own > BLOCK_BYTES:
             yield Block.of(rows, window)
             rows, size = [], 0
         rows.append((key, text))
-        size += len(text)
+        size += own
     yield Block.of(rows, window)
 
 
@@ -221,11 +224,16 @@ def contamination(
     inside any occurrence of one are hit, and a document is contaminated if at least a twentieth
     of its words is hit. Null and word-less documents have no words and are clean; null items and
     items without words have no window. Repeated rows and repeated items are each treated alike;
-    an item id counts once. An empty benchmark leaves every document clean. Use ``prefix`` where
-    ``docs`` has columns of these names.
+    an item id counts once, and texts of any length are read whole. An empty benchmark leaves every
+    document clean. Columns of ``docs`` that have one of these names give way; use ``prefix`` to keep them.
+
+    One pass over the documents searches ``PASS_BLOCKS`` blocks of the benchmark, which each task
+    holds; only a benchmark beyond that takes further passes, each over a written copy.
     """
     names = [prefix + x for x in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
-    state = T.StructType([T.StructField("__mask", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {x.lower() for x in names}])
+    mask_name, items_name = unused(docs, "mask", "items")
+    state = T.StructType([T.StructField(mask_name, T.BinaryType()), T.StructField(items_name, T.ArrayType(T.StringType()))])
     result = T.StructType([
         T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType()),
         T.StructField(names[3], T.StringType()), T.StructField(names[4], T.BooleanType()),
@@ -233,36 +241,40 @@ def contamination(
     width = len(docs.columns)
     at = docs.columns.index(text_col)
 
-    def step(df: DataFrame, block: Block, first: bool, last: bool) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    def step(df: DataFrame, shared: list[Broadcast], first: bool, last: bool) -> DataFrame:
         schema = T.StructType(docs.schema.fields + (result.fields if last else state.fields))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                masks = None if first else batch.column(width).to_pylist()
-                known = None if first else batch.column(width + 1).to_pylist()
-                out: list[tuple] = []
-                for row, n, hit, found in hits_of(batch.column(at).to_pylist(), shared.value):
-                    if not first:
-                        hit = hit | np.unpackbits(np.frombuffer(masks[row], np.uint8), count=n).astype(bool)
-                        found = found + known[row]
-                    if last:
-                        found, n_hit = sorted(set(found)), int(hit.sum())
-                        digest = hashlib.sha256(",".join(found).encode()).hexdigest()
-                        out.append((n, n_hit, len(found), digest, n_hit > 0 and 20 * n_hit >= n))
-                    else:
-                        out.append((np.packbits(hit).tobytes(), found))
+                texts = batch.column(at).cast(pa.string()).to_pylist()
+                masks = [None] * len(texts) if first else batch.column(width).to_pylist()
+                known = [[] for _ in texts] if first else batch.column(width + 1).to_pylist()
+                hits = [None if m is None else np.unpackbits(np.frombuffer(m, np.uint8)).astype(bool) for m in masks]
+                for block in shared:
+                    for row, n, hit, found in hits_of(texts, block.value):
+                        hits[row] = hit if hits[row] is None else hit | hits[row][:n]
+                        known[row] = known[row] + found
+                if last:
+                    out = [
+                        (len(hit), int(hit.sum()), len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), 0 < len(hit) <= 20 * int(hit.sum()))
+                        for hit, own in ((hit, sorted(set(found))) for hit, found in zip(hits, known))
+                    ]
+                else:
+                    out = [(np.packbits(hit).tobytes(), found) for hit, found in zip(hits, known)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()) if last else (pa.binary(), pa.list_(pa.string()))
                 more = [pa.array(list(x), kind) for x, kind in zip(zip(*out) if out else [()] * len(kinds), kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], names=schema.names)
 
         return df.mapInArrow(run, schema)
 
-    df, waiting, first = docs, None, True
+    df, waiting, first = docs, [], True
     for block in _blocks(items, item_id, item_text, window):
-        if waiting is not None:
+        if len(waiting) == PASS_BLOCKS:
             df, first = cut(step(df, waiting, first, False)), False
-        waiting = block
+            for past in waiting:
+                past.destroy()
+            waiting = []
+        waiting.append(docs.sparkSession.sparkContext.broadcast(block))
     return step(df, waiting, first, True)
 
 
@@ -314,6 +326,9 @@ def longest_matches(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kwargs) -> DataFrame:
-    """``docs`` without the contaminated documents, with its own columns only."""
-    marked = contamination(docs, items, prefix="__dc_", **kwargs)
-    return marked.where("NOT __dc_contaminated").select(*docs.columns)
+    """``docs`` without the contaminated documents, with its own columns only, whatever their names."""
+    [prefix] = unused(docs, "dc_")
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    marked = contamination(docs, items, prefix=prefix, **kwargs)
+    return marked.where(f"NOT {prefix}contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
