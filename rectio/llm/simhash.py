@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rectio.llm.common import connected_components, cut
+from rectio.llm.common import connected_components, cut, join_classes, unused
 
 SEED = 42
 MAX_BITS = 3
@@ -162,38 +162,48 @@ def simhash_components(
     max_bits: int = MAX_BITS,
     hot_half: int = HOT_HALF,
 ) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``.
+    """``(doc_id, fp, component_id, component_fp)`` for each row of ``docs``.
 
-    Equal fingerprints are one class, represented by its smallest id; classes link by
-    :func:`near_pairs`, and ``component_id`` is the smallest id reachable. An empty table gives
-    none, null texts have fingerprint zero, repeated rows are kept, rows with a null id link by
-    their text only (and have a null component if no row with an id is reachable).
+    Equal fingerprints are one class; classes link by :func:`near_pairs`, ``component_id`` is the
+    smallest id reachable, and ``component_fp`` the smallest fingerprint. An empty table gives
+    none, null texts have fingerprint zero, texts of any length are read whole, repeated rows are kept,
+    rows with a null id link by their text only (and have a null component if no row with an id is
+    reachable); other columns play no part. A fingerprint that many rows share is broadcast.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle_words))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = connected_components(near_pairs(classes, max_bits, hot_half))
-    labels = classes.join(linked, classes.rep == linked.id, "left").select(
-        F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    return rows.join(labels, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    # classes link by their fingerprint, since rows with one id may have several
+    linked = connected_components(near_pairs(classes.select("fp", F.col("fp").alias("rep")), max_bits, hot_half))
+    labels = classes.join(linked, classes.fp == linked.id, "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("root"))
+    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = cut(labels.join(least, "root").select("fp", "n", "component_id", F.col("root").alias("component_fp")))
+    return join_classes(rows, labels, "fp").select("doc_id", "fp", "component_id", "component_fp")
 
 
-def keep_one_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that represent their component; all columns stay as they are.
+def keep_one_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that represent their component in ``classes``; all columns stay as they are, whatever their names.
 
-    Rows that share a representative's id are told apart by their text: one of them stays. A row
-    with a null id stays, because no other row can stand for it by id.
+    Of rows with one id one stays for each component that the id represents. A row with a null id stays, because no other row can stand for it by id.
     """
     kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = cut(kept.select(F.col("doc_id").alias("__kept"), (F.col("rows") > 1).alias("__many")))
-    single = docs.join(kept.where("NOT __many"), F.col(id_col) == F.col("__kept"), "left_semi")
-    out = single.unionByName(docs.where(F.col(id_col).isNull()))
-    many = kept.where("__many")
-    if many.isEmpty():
+    everyone = classes.groupBy("doc_id").agg(F.count("*").alias("all"))
+    key, many = unused(docs, "kept", "many")
+    kept = cut(kept.join(everyone, "doc_id").select(F.col("doc_id").alias(key), (F.col("all") > 1).alias(many)))
+    at = F.col(f"`{id_col}`")
+    single = docs.join(kept.where(~F.col(many)), at == F.col(key), "left_semi")
+    out = single.unionByName(docs.where(at.isNull()))
+    repeated = kept.where(F.col(many))
+    if repeated.isEmpty():
         return out
-    return out.unionByName(
-        docs.join(many, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    )
+    # ids that occur more than once: their texts' fingerprints tell which of them represent a component
+    again = docs.join(repeated, at == F.col(key), "left_semi").dropDuplicates([id_col, text_col])
+    [row] = unused(docs, "row")
+    again = cut(again.withColumn(row, F.monotonically_increasing_id()))
+    prints = fingerprints(again.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), shingle_words=shingle_words)
+    prints = prints.select(F.col("doc_id").alias(row), "fp").join(again.select(row, at.alias("id")), row)
+    stays = classes.where("doc_id = component_id").select(F.col("doc_id").alias("id"), "fp", "component_fp").distinct()
+    one = prints.join(stays, ["id", "fp"]).groupBy("id", "component_fp").agg(F.min(row).alias(row))
+    return out.unionByName(again.join(one, row, "left_semi").drop(row))
 
 
 def to_hex(fp: Column) -> Column:
