@@ -16,20 +16,31 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rectio.llm.common import connected_components, cut
+from rectio.llm.common import connected_components, cut, join_classes
 
 THRESHOLD = 0.95
-TILE = 4096
+#: Vectors of a tile, about; a task holds two tiles.
+TILE = 8192
+#: Ranges of the leading coordinate that vectors are counted by, to cut it into tiles.
+CELLS = 1 << 16
 #: Vectors that the axes are fitted to, the first by a hash of their components.
 AXES_SAMPLE = 8192
 _BLOCK = 1024
 _SLACK = 1e-4  # for single precision in the bounds
+_EDGE = 1e-9  # more than two ways of summing differ by
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def principal_axes(vectors: np.ndarray) -> np.ndarray:
     """Columns are the axes, by falling share of the unit vectors' second moment."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = units(vectors)
     return np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
 
 
@@ -57,7 +68,7 @@ def compare(left: np.ndarray, right: np.ndarray | None, axes: np.ndarray, thresh
     """Places of linked pairs, by blocks. Without ``right`` the pairs of ``left`` with itself, each once."""
     same = right is None
     sides = [left] if same else [left, right]
-    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in sides]
+    unit = [units(x) for x in sides]
     turned = [u @ axes for u in unit]
     ua, ub, ta, tb = unit[0], unit[-1], turned[0], turned[-1]
     stages = _stages(axes.shape[1])
@@ -73,9 +84,12 @@ def compare(left: np.ndarray, right: np.ndarray | None, axes: np.ndarray, thresh
         a, b = a + low, b + columns
         if same:
             a, b = a[a < b], b[a < b]
-        if len(a) > 200_000:  # a dense block is cheaper whole
+        if len(a) > 200_000:  # a dense block is cheaper whole; what lies at the threshold is decided as all else is
             x = ua[rows] @ ub[columns:].T
-            a, b = np.nonzero(x >= threshold)
+            sure, near = x >= threshold + _EDGE, np.abs(x - threshold) < _EDGE
+            p, q = np.nonzero(near)
+            near[p, q] = np.einsum("ij,ij->i", ua[p + low], ub[q + columns]) >= threshold
+            a, b = np.nonzero(sure | near)
             a, b = a + low, b + columns
             if same:
                 a, b = a[a < b], b[a < b]
@@ -106,30 +120,34 @@ def _tiled_links(classes: DataFrame, width: int, threshold: float, tile: int) ->
     spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("v"), "class").limit(AXES_SAMPLE).select("v").toPandas()["v"]
     axes = principal_axes(np.array([np.asarray(v, dtype=np.float64) for v in sample]))
-    lead = [float(x) for x in axes[:, 0]]
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    dot = F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in lead]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    placed = classes.withColumn("lead", dot / norm)
-    total = classes.count()
-    bins = -(-total // tile)
-    cuts = placed.agg(F.percentile_approx("lead", [k / bins for k in range(1, bins)], 10_000)).first()[0] if bins > 1 else []
-    cuts = sorted(set(cuts))
-    placed = placed.withColumn("bin", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("lead"))) if cuts else F.lit(0))
-    stats = {r["bin"]: r for r in placed.groupBy("bin").agg(F.count("*").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high")).collect()}
+    lead = F.array(*[F.lit(float(x)) for x in axes[:, 0]])
+    # as in units(): by the largest component first
+    scaled = F.transform("v", lambda x: x / F.col("largest"))
+    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
+    dot = F.aggregate(F.zip_with("u", lead, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    placed = classes.withColumn("largest", F.array_max(F.transform("v", F.abs))).withColumn("u", scaled).withColumn("lead", dot / norm)
+    placed = placed.withColumn("cell", F.floor((F.col("lead") + 1) * (CELLS / 2))).drop("largest", "u")
+    # cells in their order are merged to bins of about a tile; one row for each cell, CELLS and two at most
+    cells = placed.groupBy("cell").agg(F.count("*").alias("c"))
+    past = F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("cell", "c", F.floor(past / tile).alias("bin"))
+    cells = cells.select("cell", "bin", F.ceil(F.sum("c").over(Window.partitionBy("bin")) / tile).alias("parts"))
     # a bin of many like values is dealt on to tiles by a hash
-    tiles, first = [], {}
-    for b in sorted(stats):
-        first[b] = (len(tiles), -(-stats[b]["n"] // tile))
-        tiles += [(stats[b]["low"], stats[b]["high"])] * first[b][1]
+    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    placed = cut(placed.join(F.broadcast(cells), "cell").withColumn("tile", F.concat_ws("-", "bin", part)).drop("cell", "parts", "bin"))
+    # the tiles whose least leading coordinates lie within another's range and a bit more, met by equal steps of it
     apart = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    partners = [[j for j in range(i, len(tiles)) if tiles[j][0] - tiles[i][1] <= apart] for i in range(len(tiles))]
-    pairs = [(i, j, n) for n, (i, j) in enumerate((i, j) for i in range(len(tiles)) for j in partners[i])]
-    start = F.create_map(*[F.lit(x) for b in first for x in (b, first[b][0])])[F.col("bin")]
-    parts = F.create_map(*[F.lit(x) for b in first for x in (b, first[b][1])])[F.col("bin")]
-    placed = placed.withColumn("tile", start + F.pmod(F.xxhash64("class"), parts.cast("long")).cast("int"))
-    sides = [(i, n, 0) for i, _, n in pairs] + [(j, n, 1) for i, j, n in pairs if i != j]
-    dealt = placed.join(spark.createDataFrame(sides, "tile int, pair int, side int"), "tile")
-    as_bytes = dealt.select("pair", "side", "class", "n", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    step = lambda x: F.floor(x / max(apart, 1e-3))
+    tiles = placed.groupBy("tile").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
+    left = tiles.select(F.struct("low", "tile").alias("a"), "high", F.explode(F.sequence(step(F.col("low")), step(F.col("high") + apart))).alias("step"))
+    right = tiles.select(F.struct("low", "tile").alias("b"), step(F.col("low")).alias("step"))
+    pairs = left.join(right, "step").where((F.col("a") <= F.col("b")) & (F.col("b.low") - F.col("high") <= apart))
+    pairs = cut(pairs.select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b")))
+    pair = F.concat_ws("/", "a", "b").alias("pair")
+    sides = pairs.select(F.col("a").alias("tile"), pair, F.lit(0).alias("side")).unionByName(
+        pairs.where("a <> b").select(F.col("b").alias("tile"), pair, F.lit(1).alias("side"))
+    )
+    as_bytes = placed.join(sides, "tile").select("pair", "side", "class", "n", "v")
     shared = spark.sparkContext.broadcast(axes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -152,6 +170,7 @@ def _tiled_links(classes: DataFrame, width: int, threshold: float, tile: int) ->
         linked = np.flatnonzero(links)
         return pd.DataFrame({"class": number[linked], "links": links[linked], "other": number[root[linked]]})
 
+    # two tiles a group
     return as_bytes.groupBy("pair").applyInPandas(run, "class long, links long, other long")
 
 
@@ -162,10 +181,11 @@ def embedding_links(
 
     Equal vectors are one class, compared once and counted as often as they occur. A null, empty or
     zero vector and one with null or non-finite components links with nothing, nor do vectors of
-    different length. Rows with a null id take part, but are no one's ``component_id`` unless all
+    different length. Components are doubles from the start and of any magnitude. Repeated rows are
+    kept, an empty table gives none, other columns play no part. Rows with a null id take part, but are no one's ``component_id`` unless all
     of their component are null.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = _valid("v")
     valid = rows.where(good)
     classes = valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
@@ -184,9 +204,7 @@ def embedding_links(
     linked = connected_components(found.select(F.col("class").alias("a"), F.col("other").alias("b")))
     of = classes.join(linked, classes["class"] == linked["id"], "left").select("class", "rep", F.coalesce("component", "class").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = cut(of.join(least, "root").join(links, "class", "left").select("class", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
-    labelled = classes.join(labels, "class").select(F.col("v").alias("of_v"), "component_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
-    out = valid.join(labelled, F.col("v") == F.col("of_v")).select(
-        "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")
-    )
+    labels = of.join(least, "root").join(links, "class", "left").select("class", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    labelled = cut(classes.join(labels, "class").select("v", "n", "component_id", (F.col("links") + F.col("n") - 1).alias("n_links")))
+    out = join_classes(valid, labelled, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return out.unionByName(alone)
