@@ -78,6 +78,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=13).drop("text")
 
 
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`op6_lattice_scores` tells of word counts, all of which SQL can tell as well."""
+    return op6_lattice_scores(spark, sf_dir).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
