@@ -23,6 +23,7 @@ BUCKET_BITS = 15
 SIZES = (1, 2, 3)
 #: Labelled documents of each language that a fit takes at most.
 SAMPLE_DOCS = 1500
+SALTS = 64
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 3
 SCALE = 30.0
 _CHUNK = 1 << 20
@@ -165,15 +166,17 @@ def fit(docs: DataFrame, learn: Column | None = None) -> LanguageModel:
 
     Whole texts of any length teach, and all languages are learnt. Null languages and ids and texts
     without a letter teach nothing; without a language every text is ``und``. One pass ranks the
-    ids, which leave each task at most ``SAMPLE_DOCS`` a language; n-grams are counted where the
-    texts are.
+    ids, and n-grams are counted where the texts are.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn))
     # a text has a letter if it has one that the model's table tells, and only such rows count
     known = known.where(F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS)
+    # a language's ids are ranked in SALTS parts first, so that no task sees more than SALTS times SAMPLE_DOCS of them
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = known.select("lang", "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= SAMPLE_DOCS)
     picked = known.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
