@@ -7,7 +7,7 @@ import gzip
 import io
 import lzma
 import os
-import tempfile
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +30,6 @@ def _double(x: Column) -> Column:
     Whole numbers are plain below 1e15, fractions down to 0.001; others have an exponent, whole ones
     after all their digits and fractions after the first.
     """
-    text = F.abs(x).cast("string")
 
     def spelt(p: Column) -> Column:
         bare, point = p["bare"], p["point"]
@@ -49,10 +48,15 @@ def _double(x: Column) -> Column:
         power = F.regexp_extract(t, "E(-?[0-9]+)$", 1).cast("int")
         return F.struct(F.trim(digits, F.lit("0")).alias("bare"), (F.length(whole) + power - lead).alias("point"))
 
-    scientific = let(text, lambda t: let(parts(t), spelt))
-    body = F.when(text.contains("E"), scientific).otherwise(F.regexp_replace(text, "[.]0$", ""))
-    body = F.when(F.abs(x) == float("inf"), "Inf").otherwise(body)
-    return F.when(~F.isnan(x), F.concat(F.when(x < 0, "-").otherwise(""), body))
+    def body(t: Column) -> Column:
+        plain = F.when(t.endswith(".0"), F.substring(t, F.lit(1), F.length(t) - 2)).otherwise(t)
+        usual = F.when(t == "-0.0", "0").otherwise(plain)
+        sign = F.when(t.startswith("-"), "-").otherwise("")
+        scientific = F.concat(sign, let(let(F.ltrim(t, F.lit("-")), parts), spelt))
+        infinite = F.concat(sign, F.lit("Inf"))
+        return F.when(t == "NaN", None).when(t.contains("E"), scientific).when(t.endswith("y"), infinite).otherwise(usual)
+
+    return let(x.cast("string"), body)
 
 
 def output_column(x: Column, kind: T.DataType) -> Column:
@@ -65,16 +69,17 @@ def output_column(x: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return _double(x.cast("double"))
     if isinstance(kind, T.TimestampType):
-        utc = F.to_utc_timestamp(x, F.current_timezone())
-        return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(utc, ".SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
-    if isinstance(kind, T.TimestampNTZType):
-        return F.concat(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(x, ".SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
+        x = F.to_utc_timestamp(x, F.current_timezone())
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):  # the cast leaves out zeros at the end of a fraction
+        return F.concat(F.replace(x.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     if isinstance(kind, T.DayTimeIntervalType):
         x = x.cast("interval day to second")
         part = lambda p: F.extract(F.lit(p), x)
-        s = F.floor(F.abs(part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")))
+        whole = F.abs(part("DAY").cast("decimal(18,6)") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND"))
+        s = F.floor(whole)
+        fraction = F.rtrim(F.substring((whole - s).cast("decimal(9,6)").cast("string"), 2, 7), F.lit("0"))
         two = lambda v: F.lpad(v.cast("string"), 2, "0")
-        clock = F.concat_ws(":", F.when(s >= 360000, F.floor(s / 3600).cast("string")).otherwise(two(F.floor(s / 3600))), two(F.floor(s / 60) % 60), two(s % 60))
+        clock = F.concat_ws(":", F.when(s >= 360000, F.floor(s / 3600).cast("string")).otherwise(two(F.floor(s / 3600))), two(F.floor(s / 60) % 60), F.concat(two(s % 60), F.when(fraction != ".", fraction).otherwise("")))
         return F.when(x.isNotNull(), F.concat(F.when(x < F.expr("INTERVAL '0' SECOND"), "-").otherwise(""), clock))
     return x.cast("string")
 
@@ -113,6 +118,20 @@ def header_line(df: DataFrame, delim: str = "\t", quote: str = "needed", escape:
 
 
 def _opened(path: str, mode: str):
+    if path.endswith(".zip"):
+        if mode != "wb":
+            raise ValueError("nothing can be appended to a zip file")
+        name = os.path.basename(path).removesuffix(".zip")
+        archive = zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
+        member = archive.open(name, "w", force_zip64=True)
+        close = member.close
+
+        def closed() -> None:
+            close()
+            archive.close()
+
+        member.close = closed
+        return member
     kind = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}.get(os.path.splitext(path)[1], open)
     return kind(path, mode)
 
@@ -150,16 +169,27 @@ def write_delim_dir(
 ) -> None:
     """Write a folder of delimited files in parallel, each with the header."""
     lines = rendered(df, delim, na, quote, escape)
-    if not col_names:
-        lines.write.mode(mode).option("lineSep", eol).option("compression", compression or "none").text(path)
-        return
-    # the csv writer puts the header into every file; quoting is done already
-    name = header_line(df, delim, quote, escape)
-    out = lines.withColumnRenamed("value", name)
-    writer = out.write.mode(mode).option("header", True).option("sep", "\x01").option("quote", "\x00").option("escape", "\x00").option("lineSep", eol)
-    writer.option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option(
-        "compression", compression or "none"
-    ).csv(path)
+    write_text_dir(lines, path, header_line(df, delim, quote, escape) if col_names else None, eol, compression, mode)
+
+
+def write_text_dir(lines: DataFrame, path: str, head: str | None = None, eol: str = "\n", compression: str | None = None, mode: str = "error") -> None:
+    """Write the column ``value`` as a folder of text files that each begin with ``head``.
+
+    A task writes one file, and the first row of its partition takes the head along.
+    """
+    value = F.col("value")
+    if head is not None:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        value = F.when(first, F.concat(F.lit(head + eol), value)).otherwise(value)
+
+    def write(rows: DataFrame, how: str) -> None:
+        writer = rows.write.mode(how).option("lineSep", eol).option("maxRecordsPerFile", 0)
+        writer.option("compression", compression or "none").text(path)
+
+    write(lines.select(value.alias("value")), mode)
+    spark = lines.sparkSession
+    if head is not None and mode != "append" and spark.read.text(path).isEmpty():
+        write(spark.createDataFrame([(head,)], "value string").coalesce(1), "append")
 
 
 def format_delim(df: DataFrame, delim: str = "\t", eol: str = "\n", na: str = "NA", col_names: bool = True, quote: str = "needed", escape: str = "double", bom: bool = False) -> str:
@@ -174,7 +204,3 @@ def format_delim(df: DataFrame, delim: str = "\t", eol: str = "\n", na: str = "N
 def write_lines(df: DataFrame, file, eol: str = "\n", na: str = "NA", append: bool = False) -> DataFrame:
     """Write the first column as lines."""
     return write_delim(df.select(df.columns[0]), file, "", eol, na, False, append, "none", "none")
-
-
-def temp_path(name: str) -> str:
-    return os.path.join(tempfile.mkdtemp(prefix="rectio-out-"), name)

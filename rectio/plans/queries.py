@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 import rectio as rx
 from rectio.functions.locale import locale
 from rectio.functions.parsers import parse_column
-from rectio.operators.writer import rendered
+from rectio.operators.writer import rendered, write_text_dir
+from rectio.sources.staging import shared_folder
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -36,16 +37,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/text" if named else tempfile.mkdtemp(prefix="rectio-text-")
-
-
 def _text(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     """Folder of text files that ``write`` makes, once for each session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
-        path = f"{_folder(spark)}/{uuid.uuid4().hex}/{name}"
+        path = f"{shared_folder(spark, 'text')}/{uuid.uuid4().hex}/{name}"
         write(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
@@ -62,6 +58,11 @@ def _lines(spark: SparkSession, sf_dir: str, name: str, line: Column, table: str
     return _text(spark, sf_dir, name, lambda path: _table(spark, sf_dir, table).select(line.alias("value")).write.text(path))
 
 
+def _headed(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, head: str, files: int = 3) -> str:
+    """A folder of several files of lines ``value``, each of which begins with ``head``."""
+    return _text(spark, sf_dir, name, lambda path: write_text_dir(df.repartition(files), path, head))
+
+
 def _day(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd").alias(column)
 
@@ -205,6 +206,100 @@ def multi_file_id_events(spark, sf_dir):
     return df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
+# -- folders of several files, each with what comes before its data
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def skip_folder_orders(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    lines = orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"))
+    path = _headed(spark, sf_dir, "skip-orders", lines, "one line of junk\n\no_orderkey,o_orderstatus")
+    return rx.read_delim(spark, path, delim=",", col_types="Ic", skip=1).df
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def comment_folder_customer(spark, sf_dir):
+    tail = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" ## note\n## whole line "), "c_name")).otherwise("")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), "c_mktsegment", tail)
+    path = _headed(spark, sf_dir, "comment-customer", _table(spark, sf_dir, "customer").select(line.alias("value")), "## first\n\nc_custkey,c_mktsegment## names")
+    return rx.read_delim(spark, path, delim=",", col_types="Ic", comment="##").df
+
+
+@query("SELECT c_custkey, c_name || ' é' AS \"prénom\" FROM customer")
+def latin1_folder_customer(spark, sf_dir):
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), "c_name", F.lit(" é"))
+    lines = _table(spark, sf_dir, "customer").select(line.alias("c_custkey,prénom")).repartition(3)
+    # lines without the separator and quote are written as they are
+    writer = lines.write.option("header", True).option("sep", "\x01").option("quote", "\x02").option("encoding", "ISO-8859-1")
+    path = _text(spark, sf_dir, "latin1-customer", writer.csv)
+    return rx.read_delim(spark, path, delim=",", col_types="Ic", locale=locale(encoding="latin-1")).df
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def gzip_folder_part(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").repartition(3)
+    path = _text(spark, sf_dir, "part-gz", lambda path: rx.write_delim_dir(part, path, ",", compression="gzip"))
+    return rx.read_delim(spark, path, delim=",", col_types="Icd").df
+
+
+def _sorted_orders(spark: SparkSession, sf_dir: str, columns: list[str]) -> str:
+    orders = _table(spark, sf_dir, "orders").select(*columns).repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    return _text(spark, sf_dir, f"sorted-orders-{'-'.join(columns)}", lambda path: rx.write_delim_dir(orders, path, ","))
+
+
+@query("SELECT o_orderpriority AS level, CAST(row_number() OVER (ORDER BY min(o_orderkey)) AS INTEGER) AS code FROM orders GROUP BY o_orderpriority")
+def factor_implicit_orders(spark, sf_dir):
+    path = _sorted_orders(spark, sf_dir, ["o_orderkey", "o_orderpriority"])
+    return rx.read_delim(spark, path, delim=",", col_types="If").levels("o_orderpriority")
+
+
+@query("SELECT nullif(o_orderstatus, 'P') AS level, CAST(row_number() OVER (ORDER BY min(o_orderkey)) AS INTEGER) AS code FROM orders GROUP BY o_orderstatus")
+def factor_include_na_orders(spark, sf_dir):
+    path = _sorted_orders(spark, sf_dir, ["o_orderkey", "o_orderstatus"])
+    kinds = rx.cols(o_orderkey="I", o_orderstatus=rx.col_factor(include_na=True))
+    return rx.read_delim(spark, path, delim=",", col_types=kinds, na=["P"]).levels("o_orderstatus")
+
+
+@query("SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus, CAST(0 AS BIGINT) AS problems FROM orders")
+def factor_na_level_orders(spark, sf_dir):
+    path = _sorted_orders(spark, sf_dir, ["o_orderkey", "o_orderstatus"])
+    kinds = rx.cols(o_orderkey="I", o_orderstatus=rx.col_factor(["O", "F", None]))
+    frame = rx.read_delim(spark, path, delim=",", col_types=kinds, na=["P"])
+    return frame.df.withColumn("problems", F.lit(frame.problems().count()))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (0, 6, 777, 1234)")
+def rows_by_number_orders(spark, sf_dir):
+    frame = rx.read_delim(spark, _sorted_orders(spark, sf_dir, ["o_orderkey", "o_totalprice"]), delim=",", col_types="Id")
+    return frame.rows([7, 1, 1235, 778]).drop("row")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(3 * 100 AS BIGINT) AS rows FROM (VALUES (1), (2), (3)) t(x)")
+def n_max_each_file_orders(spark, sf_dir):
+    path = _sorted_orders(spark, sf_dir, ["o_orderkey", "o_totalprice"])
+    df = rx.read_delim(spark, path, delim=",", col_types="Id", n_max=100, id="file").df
+    # the first rows of a sorted file have its least keys side by side
+    files = df.groupBy("file").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    return files.where("high - low = n - 1").agg(F.count("*").alias("files"), F.sum("n").alias("rows"))
+
+
+@query("""SELECT CAST(2 AS INTEGER) + CAST(p_partkey % 5 = 2 AS INTEGER) * 3 - CAST(p_partkey % 5 = 1 AS INTEGER) AS col, '3 columns' AS expected,
+    CASE WHEN p_partkey % 5 = 2 THEN '5 columns' ELSE '1 columns' END AS actual, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_partkey % 5 IN (1, 2) GROUP BY ALL""")
+def problems_width_part(spark, sf_dir):
+    tail = F.when(F.col("p_partkey") % 5 == 1, "").otherwise(F.concat(F.lit("|"), "p_name", F.lit("|"), "p_brand"))
+    more = F.when(F.col("p_partkey") % 5 == 2, "|x|y").otherwise("")
+    path = _lines(spark, sf_dir, "ragged-part", F.concat(F.col("p_partkey").cast("string"), tail, more), "part")
+    frame = rx.read_delim(spark, path, delim="|", quote="", col_names=["p_partkey", "p_name", "p_brand"], col_types="Icc", width=3)
+    return frame.problems().groupBy("col", "expected", "actual").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS X1, s_name AS X2, s_acctbal AS X3 FROM supplier")
+def fwf_empty_supplier(spark, sf_dir):
+    line = F.concat(F.rpad(F.col("s_suppkey").cast("string"), 12, " "), F.rpad(F.replace("s_name", F.lit(" "), F.lit("_")), 30, " "), F.col("s_acctbal").cast("string"))
+    path = _lines(spark, sf_dir, "supplier-blanks", line, "supplier")
+    return rx.read_fwf(spark, path, col_types="Icd").df.withColumn("X2", F.replace("X2", F.lit("_"), F.lit(" ")))
+
+
 # -- fixed width and lines
 
 
@@ -275,9 +370,9 @@ def parse_double(spark, sf_dir):
     return _spelt(spark, sf_dir, "double", ["1.5", "1d2", "1e3", ".5", "-Inf", "1.2.3", "0x10"])
 
 
-@query(_expected(["1000.5", "3.3", "4", "123000", "NULL", "-550"], "DOUBLE"))
+@query(_expected(["2750.25", "6.5", "9", "31000", "NULL", "-550"], "DOUBLE"))
 def parse_number(spark, sf_dir):
-    return _spelt(spark, sf_dir, "number", ["$1,000.50", "3.3.3", "4-1", "XYZ 123,000 BLAH 456", "--", "-5.5e2 m"])
+    return _spelt(spark, sf_dir, "number", ["EUR 2,750.25", "6.5.1", "9-8", "about 31,000 of 40", "-.-", "-5.5e2 m"])
 
 
 @query(_expected(["1234.5", "0.75", "-2"], "DOUBLE"))
@@ -330,6 +425,115 @@ def factor_levels_orders(spark, sf_dir):
     return rx.read_delim(spark, path, delim=",", col_types={"o_orderkey": "I", "o_orderstatus": rx.col_factor(["F", "O"])}).df
 
 
+# -- date and time formats on each order's own moment
+
+
+def _moment() -> Column:
+    """The order's day with a time from its key."""
+    return F.col("o_orderdate") + F.col("o_orderkey") * 7919 % 86400 * F.expr("INTERVAL '1' SECOND")
+
+
+_MOMENT = "(o_orderdate + to_seconds(o_orderkey * 7919 % 86400))"
+
+
+def _formatted(spark: SparkSession, sf_dir: str, text: Column, kind: str, fmt: str, loc=None) -> DataFrame:
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("x"))
+    v = parse_column(F.col("x"), kind, loc or locale(), fmt)
+    if kind == "time":
+        part = lambda p: F.extract(F.lit(p), F.col("v"))
+        return df.select("o_orderkey", v.alias("v")).select("o_orderkey", (part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")).cast("bigint").alias("v"))
+    return df.select("o_orderkey", F.date_format(v, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd HH:mm:ss.SSS").alias("v"))
+
+
+def _moments(sql: str = _MOMENT) -> str:
+    return f"SELECT o_orderkey, strftime({sql}, '%Y-%m-%d %H:%M:%S.%g') AS v FROM orders"
+
+
+_DAYS = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders"
+
+
+def _written(pattern: str) -> Column:
+    return F.date_format(_moment(), pattern)
+
+
+@query(_moments())
+def format_twelve_hours(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("yyyy-MM-dd hh:mm:ss a"), "datetime", "%Y-%m-%d %I:%M:%S %p")
+
+
+@query(_DAYS)
+def format_padded_day(spark, sf_dir):
+    return _formatted(spark, sf_dir, F.concat(F.lpad(_written("d"), 2, " "), _written("/MM/yyyy")), "date", "%e/%m/%Y")
+
+
+@query(_moments())
+def format_fractions(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("yyyy-MM-dd HH:mm:ss.SSS"), "datetime", "%F %H:%M:%OS")
+
+
+@query(_moments(f"{_MOMENT} - to_minutes(CAST((o_orderkey % 5 - 2) * 90 AS INTEGER))"))
+def format_offsets(spark, sf_dir):
+    minutes = (F.col("o_orderkey") % 5 - 2) * 90
+    size = F.abs(minutes)
+    clock = F.concat(F.lpad(F.floor(size / 60).cast("string"), 2, "0"), F.when(F.col("o_orderkey") % 2 == 0, ":").otherwise(""), F.lpad((size % 60).cast("string"), 2, "0"))
+    return _formatted(spark, sf_dir, F.concat(_written("yyyy-MM-dd HH:mm:ss "), F.when(minutes < 0, "-").otherwise("+"), clock), "datetime", "%Y-%m-%d %H:%M:%S %z")
+
+
+@query(_moments(f"{_MOMENT} - to_hours(CAST(CASE o_orderkey % 3 WHEN 0 THEN 9 WHEN 1 THEN -7 ELSE 0 END AS INTEGER))"))
+def format_zone_names(spark, sf_dir):
+    zone = F.element_at(F.array(F.lit("Asia/Tokyo"), F.lit("America/Phoenix"), F.lit("UTC")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return _formatted(spark, sf_dir, F.concat(_written("yyyy-MM-dd HH:mm:ss "), zone), "datetime", "%Y-%m-%d %H:%M:%S %Z")
+
+
+@query(_DAYS)
+def format_non_digits(spark, sf_dir):
+    junk = F.repeat(F.lit("~"), (F.col("o_orderkey") % 3).cast("int"))
+    return _formatted(spark, sf_dir, F.concat(_written("dd."), _written("MM"), F.lit("--"), _written("yyyy"), junk), "date", "%d%.%m%+%Y%*")
+
+
+@query(_DAYS)
+def format_american_day(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("MM/dd/yy"), "date", "%D")
+
+
+@query(_DAYS)
+def format_short_day(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("yy/MM/dd"), "date", "%x")
+
+
+@query(_moments())
+def format_day_and_clock(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("yyyy-MM-dd HH:mm:ss"), "datetime", "%F %T")
+
+
+@query(_moments())
+def format_day_and_x_clock(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("yyyy-MM-dd HH:mm:ss"), "datetime", "%F %X")
+
+
+@query(_moments(f"date_trunc('minute', {_MOMENT})"))
+def format_minutes(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("yyyy-MM-dd HH:mm"), "datetime", "%F %R")
+
+
+@query(_moments())
+def format_epoch(spark, sf_dir):
+    seconds = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01")).cast("bigint") * 86400 + F.col("o_orderkey") * 7919 % 86400
+    return _formatted(spark, sf_dir, seconds.cast("string"), "datetime", "%s")
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * ((o_orderkey % 900 + 1) * 3600 + o_orderkey % 60 * 60 + o_orderkey % 53) AS BIGINT) AS v FROM orders")
+def format_free_hours(spark, sf_dir):
+    key = F.col("o_orderkey")
+    clock = F.format_string("%d:%02d:%02d", key % 900 + 1, key % 60, key % 53)
+    return _formatted(spark, sf_dir, F.concat(F.when(key % 2 == 0, "").otherwise("-"), clock), "time", "%h:%M:%S")
+
+
+@query(_DAYS)
+def format_weekday_and_month(spark, sf_dir):
+    return _formatted(spark, sf_dir, _written("EEE, dd MMMM yyyy"), "date", "%a, %d %B %Y")
+
+
 # -- inference, specification, problems
 
 
@@ -390,11 +594,15 @@ def write_escape_backslash_events(spark, sf_dir):
     return rendered(_table(spark, sf_dir, "events").select("event_id", "props"), quote="none", escape="backslash").withColumnRenamed("value", "line")
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer")
+@query("SELECT c_custkey || ',' || regexp_replace(CAST(c_acctbal AS VARCHAR), '[.]0$', '') AS line FROM customer")
 def write_doubles_customer(spark, sf_dir):
-    lines = rendered(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ",")
-    cut = F.split("value", ",")
-    return lines.select(cut[0].cast("bigint").alias("c_custkey"), cut[1].cast("double").alias("c_acctbal"))
+    return rendered(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ",").withColumnRenamed("value", "line")
+
+
+@query("SELECT o_orderkey || ',' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || ',' || CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS line FROM orders")
+def write_datetimes_orders(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderkey") % 2 == 0).alias("even"))
+    return rendered(df, ",").withColumnRenamed("value", "line")
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -456,9 +664,12 @@ def head_lineitem(spark, sf_dir):
     return read_lineitem(spark, sf_dir).orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(10).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT CAST(100 AS BIGINT) AS n")
+@query("SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS known")
 def sample_100_lineitem(spark, sf_dir):
-    return read_lineitem(spark, sf_dir).orderBy(F.rand(1)).limit(100).agg(F.count("*").alias("n"))
+    picked = read_lineitem(spark, sf_dir).orderBy(F.rand(1)).limit(100)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    known = picked.join(_table(spark, sf_dir, "lineitem").select(*keys).distinct().withColumn("known", F.lit(1)), keys, "left")
+    return known.agg(F.count("*").alias("n"), F.count("known").alias("known"))
 
 
 @query("SELECT CAST(1000 AS BIGINT) AS n, CAST(8 AS INTEGER) AS width")

@@ -40,12 +40,13 @@ def decoded(rows: DataFrame, charset: str | None) -> DataFrame:
     raw = rows.withColumn("value", F.col("value").cast("binary"))
     if charset in LATIN:
         return raw.withColumn("value", F.decode("value", "ISO-8859-1"))
-    at = rows.columns.index("value")
+    names = rows.columns
+    at = names.index("value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([None if x is None else x.decode(charset, "replace") for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=rows.columns)
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=names)
 
     return raw.mapInArrow(run, rows.schema)
 

@@ -58,6 +58,10 @@ def test_folder_round_trip(spark, tmp_path):
     rx.write_delim_dir(df, str(tmp_path / "out"), ",")
     back = rx.read_delim(spark, str(tmp_path / "out"), delim=",", col_types="icd").df
     assert sorted(map(tuple, back.collect())) == rows
+    files = [p.read_text() for p in (tmp_path / "out").glob("part-*")]
+    assert len(files) == 3 and all(text.startswith("a,b,c\n") and "\x00" not in text for text in files)
+    rx.write_delim_dir(df.limit(0), str(tmp_path / "none"), ",", eol="\r\n")
+    assert "".join(p.read_bytes().decode() for p in (tmp_path / "none").glob("part-*")) == "a,b,c\r\n"
 
 
 def test_generated_tables(spark):
