@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, STRIDE = 24, 12
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 16
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 18
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
 GRAM_SIZES = (3, 4, 5, 6)
 #: Words of more bytes fall into parts of so many, each so far after the last; what two parts share holds every n-gram.
@@ -228,8 +228,8 @@ def _odds(table: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> None
     total = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
     rate = (seen + 0.5) / (total + 1)
     support = seen.sum(axis=0)
-    table[:] = np.log(rate[1] / rate[0]) * support / (support + 8)
-    table[support < 3] = 0
+    table[:] = np.log(rate[1] / rate[0]) * support / (support + 20)
+    table[support < 5] = 0
 
 
 _PART = 20_000
@@ -291,7 +291,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 7, seed: int
     held = rng.random(len(docs)) < 0.2 if len(docs) >= 50 else np.zeros(len(docs), bool)
     fit = np.flatnonzero(~held)
     if len(set(y[fit].tolist())) < 2:
-        held[:], fit = False, np.arange(len(docs))
+        held[:], fit = False, np.arange(len(y))
     vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for words in docs for w in words))}
     numbers = np.array([vocabulary[w] + 1 for words in docs for w in words], dtype=np.int64)
     counts = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
@@ -359,7 +359,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 7, seed: int
                 np.add.at(getattr(network, name), rows, -0.02 * grad / np.sqrt(scale[name][rows])[:, None])
     logits, _ = network.window_logits(numbers, known.table(), counts)
     top = np.maximum.reduceat(logits, first).astype(np.float64)
-    checked = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(docs))
+    checked = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(y))
     network.slope, network.shift = _calibrated(top[checked], y[checked])
     if rate is not None and 0 < rate < 1:
         network.shift += float(np.log(rate / (1 - rate)) - np.log(y.mean() / (1 - y.mean())))
