@@ -120,13 +120,17 @@ def _tiled_links(classes: DataFrame, width: int, threshold: float, tile: int) ->
     spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("v"), "class").limit(AXES_SAMPLE).select("v").toPandas()["v"]
     axes = principal_axes(np.array([np.asarray(v, dtype=np.float64) for v in sample]))
-    lead = F.array(*[F.lit(float(x)) for x in axes[:, 0]])
-    # as in units(): by the largest component first
-    scaled = F.transform("v", lambda x: x / F.col("largest"))
-    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
-    dot = F.aggregate(F.zip_with("u", lead, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    placed = classes.withColumn("largest", F.array_max(F.transform("v", F.abs))).withColumn("u", scaled).withColumn("lead", dot / norm)
-    placed = placed.withColumn("cell", F.floor((F.col("lead") + 1) * (CELLS / 2))).drop("largest", "u")
+    shared = spark.sparkContext.broadcast(axes)
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            lead = units(values) @ shared.value[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.float64())], names=["class", "n", "v", "lead"])
+
+    # written, for sums may differ in their last bits from run to run
+    placed = cut(classes.select("class", "n", "v").mapInArrow(leading, "class long, n long, v array<double>, lead double"))
+    placed = placed.withColumn("cell", F.floor((F.col("lead") + 1) * (CELLS / 2)))
     # cells in their order are merged to bins of about a tile; one row for each cell, CELLS and two at most
     cells = placed.groupBy("cell").agg(F.count("*").alias("c"))
     past = F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -134,7 +138,7 @@ def _tiled_links(classes: DataFrame, width: int, threshold: float, tile: int) ->
     cells = cells.select("cell", "bin", F.ceil(F.sum("c").over(Window.partitionBy("bin")) / tile).alias("parts"))
     # a bin of many like values is dealt on to tiles by a hash
     part = F.pmod(F.xxhash64("class"), F.col("parts"))
-    placed = cut(placed.join(F.broadcast(cells), "cell").withColumn("tile", F.concat_ws("-", "bin", part)).drop("cell", "parts", "bin"))
+    placed = placed.join(F.broadcast(cells), "cell").withColumn("tile", F.concat_ws("-", "bin", part)).drop("cell", "parts", "bin")
     # the tiles whose least leading coordinates lie within another's range and a bit more, met by equal steps of it
     apart = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     step = lambda x: F.floor(x / max(apart, 1e-3))
@@ -148,7 +152,6 @@ def _tiled_links(classes: DataFrame, width: int, threshold: float, tile: int) ->
         pairs.where("a <> b").select(F.col("b").alias("tile"), pair, F.lit(1).alias("side"))
     )
     as_bytes = placed.join(sides, "tile").select("pair", "side", "class", "n", "v")
-    shared = spark.sparkContext.broadcast(axes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         axes = shared.value
@@ -182,8 +185,8 @@ def embedding_links(
     Equal vectors are one class, compared once and counted as often as they occur. A null, empty or
     zero vector and one with null or non-finite components links with nothing, nor do vectors of
     different length. Components are doubles from the start and of any magnitude. Repeated rows are
-    kept, an empty table gives none, other columns play no part. Rows with a null id take part, but are no one's ``component_id`` unless all
-    of their component are null.
+    kept, an empty table gives none, other columns play no part. Rows with a null id take part, but
+    are no one's ``component_id`` unless all of their component are null.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = _valid("v")
