@@ -95,8 +95,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_bpe": op9_bpe,
         "op10_decontamination": op10_decontamination,
+        "base_scores": base_scores,
     }
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: crc32 of an id's decimal digits, byte by byte through the polynomial's table.
+_CRC = """crc(i, c) AS (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+    FROM range(256) t(i)),
+  crc_table(t) AS (SELECT list(c ORDER BY i) FROM crc),
+  folds(doc_id, crc) AS (
+    SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::UBIGINT)),
+        lambda x, y: xor(x >> 8, t[(xor(x, y) & 255)::INTEGER + 1])), 4294967295)
+    FROM documents, crc_table)"""
+
+_EMBEDDINGS = """WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) >= 0.95 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+  reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+  root AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+  degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(r.component_id, e.vec_id) AS component_id, coalesce(r.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN root r USING (vec_id) LEFT JOIN degree d USING (vec_id)"""
+
+_CONTAMINATION = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  i AS (SELECT item_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS text
+    FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+  sizes AS (SELECT DISTINCT n FROM windows),
+  places AS (
+    SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS text
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+  found AS MATERIALIZED (SELECT p.doc_id, p.k, p.n, item_id FROM places p JOIN windows USING (n, text)),
+  hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS k FROM found) GROUP BY doc_id),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_BASE = f"""WITH {_CRC},
+  tokens AS (SELECT doc_id, crc % 10 <> 0 AS learn, unnest(list_append(regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+'), ' ')) AS w
+    FROM documents JOIN folds USING (doc_id)),
+  counts AS (SELECT w, count(*) AS c FROM tokens WHERE learn GROUP BY w),
+  sums AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM counts)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(c) AS BIGINT) AS n_known, CAST(max(n) AS BIGINT) AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 4) AS base_score
+FROM tokens LEFT JOIN counts USING (w), sums GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL: networks, keyed permutations, hashes, the curve's ties and vocabularies are beyond it."""
+    return {"op5_embedding_near_dedup": _EMBEDDINGS, "op10_decontamination": _CONTAMINATION, "base_scores": _BASE}

@@ -114,5 +114,48 @@ def test_embedding_links_match_brute_force(spark):
     assert embeddings.embedding_links(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_magnitude(spark):
+    base = [3.0, 4.0, 0.5]
+    rows = [(k, [x * scale for x in base], "x") for k, scale in enumerate((1.0, 1e-30, 1e20, 1e-200, 1e200, -1.0))] + [(9, [1e-300, 0.0, 0.0], "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(df).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 5: (0, 5), 9: (0, 9)}
+    single = spark.createDataFrame([(1, [1e-30, 1e-30]), (2, [1e-20, 1e-20]), (3, [1e-45, 0.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_links(single).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_dense_blocks_decide_as_others_do():
+    rng = np.random.default_rng(2)
+    center = rng.standard_normal(32)
+    vectors = center + 0.28 * rng.standard_normal((900, 32))
+    axes = embeddings.principal_axes(vectors)
+    unit = embeddings.units(vectors)
+    x = np.einsum("id,jd->ij", unit, unit)
+    want = {(i, j) for i, j in zip(*np.nonzero(x >= 0.95)) if i < j}
+    got = {(int(i), int(j)) for a, b in embeddings.compare(vectors, None, axes, 0.95) for i, j in zip(a, b)}
+    assert got == want and 1000 < len(want) < 900 * 899 / 2
+
+
+def test_one_id_with_texts_of_two_components(spark, documents):
+    texts = near_texts()
+    twice = [(1, texts[0][1]), (1, texts[1][1]), (1, texts[1][1]), (2, texts[0][1]), (3, texts[1][1]), (4, texts[2][1])]
+    got = simhash.simhash_components(documents(twice))
+    assert {r.component_id for r in got.collect()} == {1, 4}
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one_each(documents(twice), got).collect())
+    assert kept == sorted([(1, texts[0][1]), (1, texts[1][1]), (4, texts[2][1])])
+
+
+def test_hot_classes_meet_in_a_broadcast(spark, monkeypatch):
+    from rectio.llm import common
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 99,) for k in range(300)], "key long")
+    classes = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    for share in (1000, 5, 1):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = common.join_classes(rows, classes, "key")
+        assert got.count() == 300 and got.where("key = 99 AND n = 100").count() == 100
+
+
 def test_hex(spark):
     assert spark.range(1).select(simhash.to_hex(F.lit(-1)).alias("h")).first().h == "f" * 16
