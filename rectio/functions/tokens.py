@@ -8,12 +8,15 @@ delimiter or comment inside quotes is plain text.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rectio.functions.datetimes import let
+
 _BLANKS = " \t\r\x00"
 
 
@@ -97,14 +100,24 @@ def widened(raw: Column, d: Dialect, width: int) -> Column:
     return F.when(F.size(raw) > width, glued).otherwise(raw)
 
 
-def content(token: Column, d: Dialect, marked: Column | None = None) -> Column:
-    """Value of a raw field: trimmed, unquoted, trimmed again, escapes resolved.
+def field(token: Column, d: Dialect, marked: Column, na: Sequence[str]) -> Column:
+    """:func:`content` of a raw field, null if it is one of ``na``; ``marked`` tells whether its record holds anything :func:`special`.
 
-    ``marked`` tells whether the field's record holds anything :func:`special`.
+    Few fields need more than two looks at their ends. What they need is bound by ``let``, which also
+    keeps it out of the generated method, so that this stays small enough to be compiled.
     """
-    if marked is not None:
-        plain = F.btrim(token, F.lit(_BLANKS)) if d.trim_ws else token
-        return F.when(marked, content(token, d)).otherwise(plain) if d.quote or d.escape_backslash else plain
+    known = (lambda x: F.when(~x.isin(*na), x)) if na else (lambda x: x)
+    out = known(token)
+    if d.trim_ws:
+        blank = reduce(lambda a, b: a | b, [token.endswith(c) for c in _BLANKS], token < "!")
+        out = F.when(blank, let(F.btrim(token, F.lit(_BLANKS)), known)).otherwise(out)
+    if d.quote or d.escape_backslash:
+        out = F.when(marked, let(token, lambda t: let(content(t, d), known))).otherwise(out)
+    return out
+
+
+def content(token: Column, d: Dialect) -> Column:
+    """Value of a raw field: trimmed, unquoted, trimmed again, escapes resolved."""
     trim = (lambda x: F.btrim(x, F.lit(_BLANKS))) if d.trim_ws else (lambda x: x)
     x = trim(token)
     if d.quote:

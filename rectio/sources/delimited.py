@@ -277,9 +277,7 @@ def read_delim(
     # further step binds what the next one uses more than once
     fields = fields.select(*_AT, "t.marked", F.size("t.raw").alias("size"), tk.widened(F.col("t.raw"), d, width).alias("tok"))
     used = [k for k, c in enumerate(collectors) if c.kind != "skip"]
-    texts = fields.select(*_AT, "size", *[tk.content(F.get("tok", F.lit(k)), d, F.col("marked")).alias(f"c{k}") for k in used])
-    if na:
-        texts = texts.select(*_AT, "size", *[F.when(~F.col(f"c{k}").isin(*na), F.col(f"c{k}")).alias(f"c{k}") for k in used])
+    texts = fields.select(*_AT, "size", *[tk.field(F.get("tok", F.lit(k)), d, F.col("marked"), na).alias(f"c{k}") for k in used])
     if guessing:
         picked = pick(texts, found, told or survey(found, most), most)
         kinds = guess_types(picked, [f"c{k}" for k in guessing], loc, guess_integer)
