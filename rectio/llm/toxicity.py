@@ -12,7 +12,7 @@ Arrow batches on the executors.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -220,7 +220,7 @@ class Network:
         return _sigmoid(self.slope * np.maximum.reduceat(logits, first).astype(np.float64) + self.shift)
 
 
-def _odds(table: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> None:
+def _odds(table: np.ndarray, docs: Iterable[np.ndarray], labels: np.ndarray) -> None:
     """Log-odds of buckets by the documents that have them, shrunk where few do."""
     seen = np.zeros((2, len(table)))
     for own, label in zip(docs, labels):
@@ -283,24 +283,27 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 7, seed: int
     """
     rng = np.random.default_rng(seed)
     network = Network.fresh(seed)
-    docs = [words_of(text) for text in texts]
     y = np.array(labels, dtype=np.int64)
-    if not len(docs) or len(set(labels)) < 2:
-        network.bias[:] = 3.0 if len(docs) and y.all() else -3.0
+    if not len(y) or len(set(labels)) < 2:
+        network.bias[:] = 3.0 if len(y) and y.all() else -3.0
         return network
-    held = rng.random(len(docs)) < 0.2 if len(docs) >= 50 else np.zeros(len(docs), bool)
+    held = rng.random(len(y)) < 0.2 if len(y) >= 50 else np.zeros(len(y), bool)
     fit = np.flatnonzero(~held)
     if len(set(y[fit].tolist())) < 2:
         held[:], fit = False, np.arange(len(y))
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for words in docs for w in words))}
-    numbers = np.array([vocabulary[w] + 1 for words in docs for w in words], dtype=np.int64)
-    counts = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+    vocabulary: dict[bytes, int] = {}
+    parts = []
+    for text in texts:
+        words = words_of(text)
+        parts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+    numbers = np.concatenate(parts) + 1
+    counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     known = _Words(network, list(vocabulary))
-    del docs, vocabulary
+    del parts, vocabulary
     ends = np.cumsum(counts)
     distinct = [np.unique(numbers[ends[i] - counts[i] : ends[i]]) - 1 for i in fit]
-    _odds(network.word_odds, [np.unique(known.buckets[own]) for own in distinct], y[fit])
-    _odds(network.gram_odds, [np.unique(known.grams(own)) for own in distinct], y[fit])
+    _odds(network.word_odds, (np.unique(known.buckets[own]) for own in distinct), y[fit])
+    _odds(network.gram_odds, (np.unique(known.grams(own)) for own in distinct), y[fit])
     del distinct
     buckets, sizes = known.buckets, known.sizes
     windows = np.array([windows_of(int(n)) for n in counts], dtype=np.int64)
