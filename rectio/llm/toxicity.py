@@ -32,6 +32,8 @@ SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 3000
 #: Words of one text that a fit holds; of a longer one it takes so many in passages spread evenly over all of it.
 SAMPLE_WORDS, PASSAGE = 16_384, 64
 THRESHOLD = 0.3
+#: Steps of an epoch, if that leaves each at least 16 windows and at most 256.
+STEPS = 32
 _CACHE_WORDS = 200_000
 _BLOCK_WINDOWS = 8192
 
@@ -334,14 +336,15 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 7, seed: int
         order = rng.permutation(len(chosen))
         picked, goal = np.array(chosen)[order], np.array(target, np.float32)[order]
         weight = np.where(goal > 0, 0.5 / max(1e-9, goal.mean()), 0.5 / max(1e-9, 1 - goal.mean())).astype(np.float32)
-        for low in range(0, len(picked), 256):
-            at = network.places(picked[low : low + 256], numbers, counts, first)
+        size = int(np.clip(len(picked) // STEPS, 16, 256))
+        for low in range(0, len(picked), size):
+            at = network.places(picked[low : low + size], numbers, counts, first)
             used, where = np.unique(np.concatenate([[0], at.ravel()]), return_inverse=True)
             own, where = used[1:] - 1, where[1:].reshape(at.shape)
             x, gram_at = known.inputs(own)
             local = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), x @ network.w + network.b])
             kept = network.forward(local, where, keep=True)
-            slope = ((_sigmoid(kept[0]) - goal[low : low + 256]) * weight[low : low + 256] / len(at)).astype(np.float32)
+            slope = ((_sigmoid(kept[0]) - goal[low : low + size]) * weight[low : low + size] / len(at)).astype(np.float32)
             grads, d_inputs = network.backward(kept, where, slope)
             d_rows = np.zeros((len(used), 6 * HIDDEN), np.float32)
             np.add.at(d_rows, where.ravel(), d_inputs.reshape(-1, 6 * HIDDEN))

@@ -29,5 +29,5 @@ def test_pipeline_stages_take_effect(spark):
 
 
 def test_every_operator_has_a_query():
-    names = list(queries.queries())
+    names = [n for n in queries.queries() if n.startswith("op")]
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
