@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,6 +155,43 @@ def split_py(record: str, d: Dialect) -> list[str]:
     return [*out, record[start:]]
 
 
+# Where a line leaves its record: closed, in quotes, or by an escaped line feed in a plain or a once quoted field.
+CLOSED, QUOTED, PLAIN, ENDED = range(4)
+
+
+@lru_cache(64)
+def _marks(d: Dialect) -> tuple[re.Pattern, re.Pattern]:
+    """What counts inside quotes and outside; a lone backslash escapes the line feed."""
+    escaped, q = [r"\\.?"] if d.escape_backslash else [], [re.escape(d.quote)] if d.quote else []
+    outside = [*escaped, re.escape(d.delim), *([re.escape(d.comment)] if d.comment else []), *q]
+    return re.compile("|".join([*escaped, *q]), re.S), re.compile("|".join(outside), re.S)
+
+
+def after_line(line: str, state: int, d: Dialect) -> tuple[int, int]:
+    """Where the record's text in a line ends, at a comment or the line's end, and the state after the line."""
+    if not ((d.quote and d.quote in line) or (d.escape_backslash and "\\" in line) or (d.comment and d.comment in line)):
+        return len(line), QUOTED if state == QUOTED else CLOSED
+    inside, outside = _marks(d)
+    at = 0
+    while m := (inside if state == QUOTED else outside).search(line, at):
+        if state == CLOSED and m.start() > at:
+            state = PLAIN
+        mark, at = m.group(), m.end()
+        if d.escape_backslash and mark[0] == "\\":
+            state = PLAIN if state == CLOSED else state
+            if mark == "\\":
+                return len(line), state
+        elif state == QUOTED:
+            state = ENDED
+        elif mark == d.delim:
+            state = CLOSED  # a field begins as a record does
+        elif mark == d.comment:
+            return m.start(), CLOSED
+        elif state in (CLOSED, ENDED):
+            state = QUOTED
+    return len(line), QUOTED if state == QUOTED else CLOSED
+
+
 def content_py(token: str, d: Dialect) -> str:
     blanks = _BLANKS
     x = token.strip(blanks) if d.trim_ws else token

@@ -2,12 +2,13 @@
 
 Files whose records are lines are read by Spark's text source in splits; a header alone before the
 data is dropped by a line-wise csv scan, a longer prefix by an Arrow pass over the first split.
-Only files whose records hold line feeds are read whole, one file a task.
+Records that hold line feeds are joined from the lines of their split, and across splits piece by piece.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -27,8 +28,8 @@ from rectio.operators.guess import guess_types
 from rectio.plans import select as sel
 from rectio.plans import spec as sp
 from rectio.sources.rows import at_numbers, first_rows, numbered, pick, placed, splits, survey
-from rectio.sources.sniff import LATIN, Prefix, closed, decoded, first_record, guess_delim, read_head
-from rectio.sources.staging import Input, first_bytes, resolve
+from rectio.sources.sniff import LATIN, Prefix, closed, decoded, first_record, guess_delim, is_blank, read_head
+from rectio.sources.staging import Input, first_bytes, resolve, shared_folder
 
 _AT = ["path", "block", "at"]
 
@@ -148,34 +149,108 @@ def _lines(spark: SparkSession, paths: dict[str, str], d: tk.Dialect, skip: int,
     return df
 
 
-def _whole(spark: SparkSession, paths: dict[str, str], d: tk.Dialect, skip: int, header: bool, charset: str | None) -> DataFrame:
-    """``(value, path, block)`` of every data record of files that are read whole."""
-    df = spark.read.text(list(paths), wholetext=True).select("value", _path_column(paths).alias("path"), F.lit(0).cast("long").alias("block"))
-    df = decoded(df, charset)
-    df = df.withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", ""))
+@dataclass
+class _Split:
+    """What a split's lines do to each state that may come before them, and what does come before them."""
+
+    ends: list[int]
+    begins: list[bool]  # whether a record begins here
+    filled: bool  # whether it has a line that may be a header
+    state: int = tk.CLOSED
+    origin: int = 0  # the split in which the record before the first line began
+    header: bool = False  # whether its first record is the header
+
+
+def _split_states(lines: DataFrame, d: tk.Dialect, blanks: bool, header: bool) -> dict[tuple[str, int], _Split]:
+    """Each split's state, from one small row of every split of ``lines(value, path, block)``."""
+    states = range(4 if d.escape_backslash else 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = []
+        for batch in batches:
+            for line, path, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if not out or (path, block) != tuple(out[-1][:2]):
+                    out.append([path, block, [*states], [s == tk.CLOSED for s in states], False])
+                row = out[-1]
+                after = {s: tk.after_line(line, s, d)[1] for s in set(row[2])}
+                row[2] = [after[s] for s in row[2]]
+                row[3] = [x or s == tk.CLOSED for x, s in zip(row[3], row[2])]
+                row[4] = row[4] or blanks or not is_blank(line)
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.bool_()]
+        names = ["path", "block", "ends", "begins", "filled"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    found = lines.mapInArrow(run, "path string, block long, ends array<long>, begins array<boolean>, filled boolean").collect()
+    out, last = {}, None
+    for r in sorted(found, key=lambda r: (r["path"], r["block"])):
+        now = _Split(list(r["ends"]), list(r["begins"]), r["filled"], origin=r["block"], header=header)
+        if last is not None and last[0] == r["path"]:
+            before = out[last]
+            now.state, now.header = before.ends[before.state], before.header and not before.filled
+            if now.state != tk.CLOSED:
+                now.origin = last[1] if before.begins[before.state] else before.origin
+        last = (r["path"], r["block"])
+        out[last] = now
+    return out
+
+
+def _joined(spark: SparkSession, paths: dict[str, str], d: tk.Dialect, skip: int, header: bool, charset: str | None) -> DataFrame:
+    """``(value, path, block)`` of every data record of files whose records may hold line feeds.
+
+    A small row of each split tells the state in which the next one begins, so every split joins its
+    own lines. Of a record that crosses splits each has a piece; the pieces are gathered by record.
+    """
+    lines = decoded(spark.read.text(list(paths)).select("value", _path_column(paths).alias("path"), F.col("_metadata.file_block_start").alias("block")), charset)
     if skip > 0 or d.comment:
+        lines = drop_prefix(lines, d, skip, False)
+    blanks = not (d.skip_empty_rows or d.comment)
+    known = _split_states(lines, d, blanks, header)
 
+    def records(pieces: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Whole records, or the pieces of those that cross splits with the split of each piece."""
+            last, parts, state, origin, begun, head = None, [], tk.CLOSED, 0, True, False
             for batch in batches:
-                rest = []
-                for text in batch.column(0).to_pylist():
-                    at, prefix = 0, Prefix(d, skip, False)
-                    while at <= len(text):
-                        end = text.find("\n", at)
-                        end = len(text) if end < 0 else end
-                        if not prefix.before(text[at:end]):
-                            break
-                        at = end + 1
-                    rest.append(text[at:] if at <= len(text) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), *batch.columns[1:]], names=batch.schema.names)
-
-        df = df.mapInArrow(run, df.schema)
-    found = tk.records(F.col("value"), d)
-    if d.skip_empty_rows or d.comment:
-        found = F.filter(found, lambda x: ~_blank(x))
-    if header:
-        found = let(found, lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))))
-    return df.select(F.explode(found).alias("value"), "path", "block")
+                out: list[tuple] = []
+                for line, path, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    if (path, block) != last:
+                        if parts and pieces and not (begun and head):
+                            out.append(("\n".join(parts), last[0], origin, last[1]))
+                        last, parts, now = (path, block), [], known[path, block]
+                        state, origin, begun, head = now.state, now.origin, now.state == tk.CLOSED, now.header
+                    if state == tk.CLOSED:
+                        parts, origin, begun = [], block, True
+                    end, state = tk.after_line(line, state, d)
+                    parts.append(line[:end])
+                    if state == tk.CLOSED:
+                        if not begun:
+                            if pieces:
+                                out.append(("\n".join(parts), path, origin, block))
+                        elif blanks or len(parts) > 1 or not is_blank(parts[0]):
+                            if head:
+                                head = False
+                            elif not pieces:
+                                out.append(("\n".join(parts), path, block, block))
+                        parts = []
+                yield _rows(out)
+            if parts and pieces and not (begun and head):
+                yield _rows([("\n".join(parts), last[0], origin, last[1])])
+
+        return lines.mapInArrow(run, "value string, path string, block long, piece long")
+
+    whole = records(False).drop("piece")
+    if all(x.state == tk.CLOSED == x.ends[x.state] for x in known.values()):
+        return whole
+    # a header that crosses splits has no first piece
+    crossing = records(True).groupBy("path", "block").agg(F.sort_array(F.collect_list(F.struct("piece", "value"))).alias("found")).where("found[0].piece = block")
+    folder = f"{shared_folder(spark, 'records')}/{uuid.uuid4().hex}"
+    crossing.select(F.array_join("found.value", "\n").alias("value"), "path", "block").write.parquet(folder)
+    return whole.unionByName(spark.read.parquet(folder))
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = {"value": pa.string(), "path": pa.string(), "block": pa.int64(), "piece": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def read_delim(
@@ -259,7 +334,7 @@ def read_delim(
     if multiline is None and any(header[p] > 1 for p in live):
         multiline = True
     how = (spark, live, d, skip, col_names is True, charset)
-    rows = placed((_whole if multiline else _lines)(*how))
+    rows = placed((_joined if multiline else _lines)(*how))
     found, told = splits(rows), None
     if multiline is None and quote:
         # one pass over the lines tells whether quotes hold line feeds, and where the rows to guess from are
@@ -267,7 +342,7 @@ def read_delim(
         told = survey(found, most)
         multiline = bool(told["open"])
         if multiline:
-            rows = placed(_whole(*how))
+            rows = placed(_joined(*how))
             found, told = splits(rows), None
     if n_max < math.inf:
         rows = first_rows(rows, int(n_max))
