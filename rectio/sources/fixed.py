@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,38 @@ def fwf_empty(spark: SparkSession, file, skip: int = 0, col_names: Sequence[str]
     return Layout(tuple(begin), tuple(ends), tuple(sp.make_names(col_names, len(begin))))
 
 
+def _opened(layout: Layout, lines: DataFrame, comment: str) -> Layout:
+    """The first lines' columns, parted where all of ``lines(value, ...)`` are blank.
+
+    What later lines hold between two columns goes to the one it adjoins: these are parted at the last
+    blanks that all lines share. Where they share none the first lines' places stay.
+    """
+    gaps = [(e, b) for e, b in zip(layout.end, layout.begin[1:])]
+    places = sorted({*range(layout.begin[0]), *(p for e, b in gaps for p in range(e, b))}) if layout.begin else []
+    wanted = np.zeros(places[-1] + 1 if places else 0, bool)
+    wanted[places] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(wanted), bool)
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                if not (comment and line.startswith(comment.encode())):
+                    line = np.frombuffer(line, np.uint8, min(len(line), len(wanted)))
+                    held[: len(line)] |= (line != 32) & (line != 13)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held & wanted), pa.int64())], names=["place"])
+
+    # no more rows than places
+    held = {r[0] for r in lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "place long").distinct().collect()} if places else set()
+    begin, end = list(layout.begin), list(layout.end)
+    begin[:1] = [min([*held, b]) for b in begin[:1]]
+    for k, (e, b) in enumerate(gaps):
+        blank = [p for p in range(e, b) if p not in held]
+        if blank:
+            begin[k + 1] = blank[-1] + 1
+            end[k] = next(p for p in range(blank[-1], e - 1, -1) if p == e or p - 1 in held)
+    return Layout(tuple(begin), tuple(end), layout.names)
+
+
 def read_fwf(
     spark: SparkSession, file, col_positions: Layout | None = None, col_types=None, col_select=None, id: str | None = None,
     locale: Locale | None = None, na: Sequence[str] = ("", "NA"), comment: str = "", skip_empty_rows: bool = True, trim_ws: bool = True,
@@ -84,7 +118,8 @@ def read_fwf(
 ) -> RectFrame:
     """Read fixed-width files; places are bytes of the UTF-8 text, and may overlap.
 
-    Blank and comment lines are left out before the first record only.
+    Blank and comment lines are left out before the first record only. Without ``col_positions``
+    the first lines of the first file tell the columns, and one pass over all lines their ends.
     """
     loc = locale or default_locale()
     sources = file if isinstance(file, (list, tuple)) else [file]
@@ -96,6 +131,8 @@ def read_fwf(
     df = decoded(df, charset)
     if skip > 0 or comment or _blank_first(spark, inputs, charset, skip_empty_rows):
         df = drop_prefix(df, d, skip, False)
+    if col_positions is None:
+        layout = _opened(layout, df, comment)
     df = placed(df)
     if 0 <= n_max < math.inf:
         df = first_rows(df, int(n_max))
