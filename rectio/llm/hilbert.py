@@ -19,8 +19,6 @@ BITS = 4
 SHARDS = 24
 #: Parts of a cell that are numbered apart, so that a cell that holds most rows isn't one task.
 SALTS = 1024
-#: Distinct values of a text dimension that its splitters are taken from, chosen by their hash.
-SPLITTER_SAMPLE = 4096
 
 
 def hilbert_index(coordinates: list[Column], bits: int) -> Column:
@@ -73,13 +71,21 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
 
 
 def splitters(df: DataFrame, column: str, bits: int) -> list:
-    """Up to 2**bits - 1 ascending bounds: quantiles of numbers, or evenly spaced distinct texts."""
+    """Up to 2**bits - 1 ascending bounds: quantiles of numbers, or evenly spaced ones of all distinct texts.
+
+    The distinct texts are sorted by range over the tasks; a count for each range tells where the bounds are.
+    """
     parts = 1 << bits
     if isinstance(df.schema[column].dataType, T.StringType):
-        distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-        rows = distinct.orderBy(F.xxhash64(column), column).limit(SPLITTER_SAMPLE).collect()
-        values = sorted(r[0] for r in rows)
-        return sorted({values[k * len(values) // parts] for k in range(1, parts)}) if values else []
+        texts = cut(df.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct().orderBy("text"))
+        texts = texts.withColumn("at", F.monotonically_increasing_id())
+        ranges = texts.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+        total, before, places = sum(r["n"] for r in ranges), 0, []
+        wanted = {k * total // parts for k in range(1, parts)} if total else set()
+        for r in ranges:
+            places += [(r["part"] << 33) + k - before for k in wanted if before <= k < before + r["n"]]
+            before += r["n"]
+        return sorted(r["text"] for r in texts.where(F.col("at").isin(*places)).collect()) if places else []
     found = df.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 1000)).first()[0]
     return sorted(set(found or []))
 
