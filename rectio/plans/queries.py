@@ -340,7 +340,7 @@ def lines_skip_empty_documents(spark, sf_dir):
 
 def _spelt(spark: SparkSession, sf_dir: str, kind: str, spellings: list[str], fmt: str | None = None, loc=None, show: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     key = F.col("o_orderkey")
-    text = F.element_at(F.array(*[F.lit(s) for s in spellings]), (key % len(spellings) + 1).cast("int"))
+    text = F.get(F.array(*[F.lit(s) for s in spellings]), (key % len(spellings)).cast("int"))  # null for a remainder below zero
     df = _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("x"))
     return df.select("o_orderkey", show(parse_column(F.col("x"), kind, loc or locale(), fmt)).alias("v"))
 
